@@ -10,6 +10,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when the scan has fewer splits than there are cores.
+
+    Large tables have many splits and pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _base_title() -> list[Column]:
     key, size = F.col("p_partkey"), F.col("p_size").cast("string")
     brand = (
@@ -48,7 +57,9 @@ def offers(spark: SparkSession, folder: str, pack_skip: bool = False) -> DataFra
     price = F.when(F.col("l_orderkey") % 97 == 0, "N/A").otherwise(
         F.col("l_extendedprice").cast("string"))
     return (
-        table(spark, folder, "lineitem")
+        spread(table(spark, folder, "lineitem").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+            "l_extendedprice"))
         .join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -69,7 +80,7 @@ def catalog(spark: SparkSession, folder: str) -> DataFrame:
     suppliers = table(spark, folder, "supplier")
     n_suppliers = suppliers.agg(F.count("*").alias("n")).scalar()
     return (
-        table(spark, folder, "part")
+        spread(table(spark, folder, "part"))
         .withColumn("_supplier", F.col("p_partkey") % n_suppliers)
         .join(suppliers, F.col("_supplier") == F.col("s_suppkey"))
         .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -83,3 +94,8 @@ def catalog(spark: SparkSession, folder: str) -> DataFrame:
             _store_url().alias("product_url"),
         )
     )
+
+
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored raw pages: page_id, url, html."""
+    return spread(table(spark, folder, "pages"))
