@@ -95,7 +95,7 @@ SITE_RULES = {
         card_id=[r'id="product-item-\s*([^"]*?)\s*"'],
     ),
     "Rainbow": SiteRules(
-        base="https://rainbowcashandcarry.com.pk",
+        base="https://rainbowcc.com.pk",
         card=r'<div\b[^>]*id="product-item-',
         title=[tag_attr("h4", "title"), tag_text("h4"), tag_attr("a", "title"), tag_text("a")],
         link=[tag_attr("a", "href")],
