@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions import quantity as q
 from shelfspark.functions.text import blank_to_null, number
 from shelfspark.operators.stats import one_row
+from shelfspark.session import stage
 
 
 def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -81,8 +82,9 @@ def quantity_table(df: DataFrame) -> DataFrame:
     """Search-result features: rows without a size and the minor family go."""
     rows = with_quantity(df)
     rows = with_brand(rows, q.BRANDS).withColumn("category", F.lit("Grocery"))
-    rows = keep_majority_unit_family(drop_no_size(with_brand_category(rows)))
-    return with_unit_prices(rows)
+    # Parsing costs more than a write, and the family vote needs a second pass.
+    rows = stage(drop_no_size(with_brand_category(rows)), "sized")
+    return with_unit_prices(keep_majority_unit_family(rows))
 
 
 def feature_table(df: DataFrame) -> DataFrame:

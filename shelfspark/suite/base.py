@@ -32,11 +32,18 @@ def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round double columns; summation order may differ between runs."""
+def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Round double columns; summation order may differ between runs.
+
+    Means of prices in cents often end in an exact half, which engines round
+    either way; a nudge far below the kept digits settles those.
+    """
     return df.select(*[
-        F.round(f.name, digits).alias(f.name) if f.dataType.simpleString() == "double"
-        else F.col(f.name) for f in df.schema.fields])
+        F.round(F.col(f.name) + F.lit(nudge), digits).alias(f.name)
+        if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema.fields])
+
+
+NUDGE = 1e-7
 
 
 # ------------------------------------------------------------- Spark inputs
