@@ -1,26 +1,30 @@
 """Groups of listings that are the same product under slightly different names.
 
-Similar names are found with an exact filter chain. A pair of names can only
-reach the threshold if their character bags overlap enough; so the rarest
-characters of both must share a pair of characters. Those pairs of characters,
-with a band of name lengths, are the equi-join key; a bound on the overlap from
-bit counts follows, and the common subsequence is computed for what is left.
+Similar names are found with an exact filter chain. For two names of given
+lengths the threshold fixes how many characters they must share, so their
+rarest characters must meet; a rare character together with both lengths is the
+equi-join key. A bound on the shared characters from bit counts follows, and
+the common subsequence is computed only for pairs that are left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.similarity import lcs, normalize_name, sorted_tokens
 from shelfspark.operators.listings import valid_price
-from shelfspark.session import cut_lineage, stage
+from shelfspark.session import cut_lineage, spread, stage
 
 THRESHOLD, BEST = 85, 10
-# Common characters first; only the speed of the join depends on this order.
-COMMON_FIRST = " eaoinrltsd0cmupg1bh2k5fyw3v46789xqzj"
-BAG = "abcdefghijklmnopqrstuvwxyz0123456789 #."
-CELLS, WORDS = 6, 4
+RANKED_TOKENS = 1_000
+HOT_KEY = 20_000
+CELLS, CLASSES_PER_WORD, WORDS = 6, 10, 4
+SIGNED = ("ord long, text string, len int, tokens array<long>, bag0 long, bag1 long, bag2 long, "
+          "bag3 long, bag_rest int")
 
 
 def with_normalized_name(df: DataFrame) -> DataFrame:
@@ -32,100 +36,144 @@ def distinct_names(df: DataFrame, order: str = "seq") -> DataFrame:
     return df.groupBy("normalized_name").agg(F.min(order).alias("ord"))
 
 
-def _rare_first(text: Column) -> Column:
-    """Characters with their occurrence number, rarest first, as hashes."""
-    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
-
-    def token(c: Column, i: Column) -> Column:
-        nth = i + 2 - F.array_position(chars, c)
-        place = F.instr(F.lit(COMMON_FIRST), c)
-        common = F.when(place == 0, len(COMMON_FIRST) + 1).otherwise(place)
-        return F.struct((-nth * common).alias("weight"), c.alias("c"), nth.alias("nth"))
-
-    return F.transform(F.array_sort(F.transform(chars, token)),
-                       lambda s: F.xxhash64(s["c"], s["nth"]))
-
-
-def _bag_words(text: Column) -> dict[str, Column]:
-    """Unary character counts packed in four words, and what does not fit."""
-    letters = F.array(*[F.lit(c) for c in BAG])
-    known = F.transform(letters, lambda c: F.length(text) - F.length(F.replace(text, c, F.lit(""))))
-    total = F.aggregate(known, F.lit(0), lambda a, c: a + c)
-    counts = F.concat(known, F.array(F.length(text) - total))
-    masks = F.array(*[F.lit((1 << n) - 1).cast("long") for n in range(CELLS + 1)])
-    per_word = -(-(len(BAG) + 1) // WORDS)
-    out = {
-        f"bag{w}": F.aggregate(
-            F.slice(counts, w * per_word + 1, per_word), F.lit(0).cast("long"),
-            lambda a, c: a * (1 << CELLS) + F.element_at(masks, F.least(c, F.lit(CELLS)) + 1))
-        for w in range(WORDS)
-    }
-    out["bag_rest"] = F.aggregate(
-        counts, F.lit(0), lambda a, c: a + F.greatest(c - CELLS, F.lit(0)))
+def _tokens(text: str) -> list[tuple[str, int]]:
+    """Characters with their occurrence number, so that a bag becomes a set."""
+    seen: Counter = Counter()
+    out = []
+    for ch in text:
+        seen[ch] += 1
+        out.append((ch, seen[ch]))
     return out
 
 
-def _pairs_of(tokens: Column) -> Column:
-    def with_later(x: Column, i: Column) -> Column:
-        return F.transform(F.slice(tokens, i + 2, F.size(tokens)), lambda y: F.xxhash64(x, y))
-    return F.flatten(F.transform(tokens, with_later))
-
+def _token_id(token: tuple[str, int]) -> int:
+    return ord(token[0]) * 100_000 + token[1]
 
-def _signed(names: DataFrame, threshold: float) -> DataFrame:
-    """Names with sorted tokens, length, rare tokens and packed bag."""
-    rows = names.select("ord", sorted_tokens("normalized_name").alias("text"))
-    rows = rows.where(F.length("text") > 0).withColumn("len", F.length("text"))
-    return rows.withColumns({"tokens": _rare_first(F.col("text")), **_bag_words(F.col("text"))})
 
+def _packed_bag(counts: Counter) -> list[int]:
+    """Unary character counts in four words, and what does not fit.
 
-def similar_pairs(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    Characters beyond the 40 classes share classes, which can only raise the
+    overlap of two bags, so the bound taken from them stays a bound.
+    """
+    classes = [0] * (CLASSES_PER_WORD * WORDS)
+    for ch, n in counts.items():
+        code = ord(ch)
+        if 97 <= code <= 122:
+            place = code - 97
+        elif 48 <= code <= 57:
+            place = 26 + code - 48
+        else:
+            place = 36 + code % 4
+        classes[place] += n
+    words = []
+    for w in range(WORDS):
+        word = 0
+        for n in classes[w * CLASSES_PER_WORD:(w + 1) * CLASSES_PER_WORD]:
+            word = (word << CELLS) | ((1 << min(n, CELLS)) - 1)
+        words.append(word)
+    return [*words, sum(max(n - CELLS, 0) for n in classes)]
+
+
+def _common_tokens(texts: DataFrame) -> list[int]:
+    """The commonest tokens, most frequent first; a list of fixed size."""
+    chars = texts.select(F.array_sort(F.split("text", "")).alias("c"))
+    tokens = chars.select(F.posexplode("c").alias("i", "ch"), "c").where(F.col("ch") != "")
+    nth = F.col("i") + 2 - F.array_position("c", F.col("ch"))
+    ranked = tokens.groupBy("ch", nth.alias("nth")).agg(F.count("*").alias("n")).orderBy(
+        F.desc("n"), "ch", "nth").limit(RANKED_TOKENS).collect()
+    return [_token_id((r["ch"], int(r["nth"]))) for r in ranked]
+
+
+def _signed(names: DataFrame) -> DataFrame:
+    """Names with sorted tokens, length, characters from rare to common, packed bag."""
+    texts = spread(names.select("ord", sorted_tokens("normalized_name").alias("text")).where(
+        F.length("text") > 0))
+    # The order only decides how selective the join is, not what it finds.
+    rank = {token: i for i, token in enumerate(_common_tokens(texts))}
+
+    def sign(batches):
+        for pdf in batches:
+            rows = []
+            for number, text in zip(pdf["ord"], pdf["text"]):
+                ids = [_token_id(t) for t in _tokens(text)]
+                ids.sort(key=lambda t: (-rank.get(t, RANKED_TOKENS), t))
+                rows.append((number, text, len(text), ids, *_packed_bag(Counter(text))))
+            yield pd.DataFrame(rows, columns=["ord", "text", "len", "tokens", "bag0", "bag1",
+                                              "bag2", "bag3", "bag_rest"])
+
+    return texts.mapInPandas(sign, SIGNED)
+
+
+def _split_hot(left: DataFrame, right: DataFrame, hot: int) -> tuple[DataFrame, DataFrame, list]:
+    """Cut both sides of hot keys into chunks and pair every two chunks.
+
+    Keys with at most ``hot`` rows on each side stay whole. No row is lost: a
+    row of one chunk is copied to each chunk of the other side.
+    """
+    def sizes(side: DataFrame, name: str) -> DataFrame:
+        counts = side.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+        return counts.select("key", F.ceil(F.col("n") / hot).cast("int").alias(name))
+
+    parts = sizes(left, "cuts_a").join(sizes(right, "cuts_b"), "key", "full")
+    if parts.isEmpty():
+        return left, right, ["key"]
+    one = F.lit(1)
+
+    def cut(side: DataFrame, number: str, own: str, own_cuts: str, other: str,
+            other_cuts: str) -> DataFrame:
+        rows = side.join(parts, "key", "left")
+        return rows.withColumn(own, F.pmod(
+            F.xxhash64(number), F.coalesce(own_cuts, one)).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.coalesce(other_cuts, one) - 1))).drop(
+            "cuts_a", "cuts_b")
+
+    return (cut(left, "a", "part_a", "cuts_a", "part_b", "cuts_b"),
+            cut(right, "b", "part_b", "cuts_b", "part_a", "cuts_a"),
+            ["key", "part_a", "part_b"])
+
+
+def similar_pairs(names: DataFrame, threshold: float = THRESHOLD,
+                  hot: int = HOT_KEY) -> DataFrame:
     """All pairs (a, b, score) of names(ord, normalized_name) at or above the threshold."""
     if not 0 < threshold <= 100:
         raise ValueError("threshold must lie in (0, 100]")
-    # Two shared tokens can be demanded only if every pair must share two.
-    together = 2 if threshold > 67 else 1
-    shrink = threshold / (200.0 - threshold)
-    rows = stage(_signed(names, threshold), "names")
-
-    def band(length: Column) -> Column:
-        if shrink >= 1:
-            return length
-        return F.floor(F.log(length.cast("double")) / F.log(F.lit(1 / shrink))).cast("int")
-
-    def keys(tokens: Column) -> Column:
-        return _pairs_of(tokens) if together == 2 else tokens
-
-    def prefix(overlap: Column) -> Column:
-        return F.slice("tokens", 1, (F.col("len") - overlap + together).cast("int"))
-
-    bags = [f"bag{w}" for w in range(WORDS)] + ["bag_rest"]
     eps = 1e-9
-    least = F.ceil(F.col("len") * shrink - eps)
-    shorter = rows.select(
-        F.explode(keys(prefix(F.ceil(F.col("len") * threshold / 100.0 - eps)))).alias("t"),
-        band(F.col("len")).alias("band"), F.col("ord").alias("a"), F.col("text").alias("text_a"),
-        F.col("len").alias("len_a"), *[F.col(b).alias(f"{b}_a") for b in bags])
-    longer = rows.select(
-        "*", F.explode(F.sequence(band(least), band(F.col("len")))).alias("band")).select(
-        F.explode(keys(prefix(least))).alias("t"), "band", F.col("ord").alias("b"),
-        F.col("text").alias("text_b"), F.col("len").alias("len_b"),
-        *[F.col(b).alias(f"{b}_b") for b in bags])
+    rows = stage(_signed(names), "names")
+    reach = (200.0 - threshold) / threshold
+    bags = [f"bag{w}" for w in range(WORDS)] + ["bag_rest"]
+
+    def keyed(number: str, side: str, low, high) -> DataFrame:
+        """One row per length of a possible partner and per character of the prefix."""
+        other = F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("other")
+        lengths = rows.select("*", other)
+        shared = F.ceil((F.col("len") + F.col("other")) * (threshold / 200.0) - eps)
+        prefix = F.slice("tokens", 1, (F.col("len") - shared + 1).cast("int"))
+        short, long = ("len", "other") if side == "a" else ("other", "len")
+        return lengths.select(
+            F.explode(prefix).alias("t"), F.col(short).alias("short"), F.col(long).alias("long"),
+            F.col("ord").alias(number), *[F.col(b).alias(f"{b}_{side}") for b in bags]
+        ).withColumn("key", F.xxhash64("short", "long", "t")).drop(
+            "t", *(["short", "long"] if side == "b" else []))
+
+    n = F.col("len")
+    shorter = keyed("a", "a", n, F.floor(n * reach + eps))
+    longer = keyed("b", "b", F.ceil(n / reach - eps), n)
+    shorter, longer, on = _split_hot(shorter, longer, hot)
     overlap = F.least("bag_rest_a", "bag_rest_b")
     for w in range(WORDS):
         overlap = overlap + F.bit_count(F.col(f"bag{w}_a").bitwiseAND(F.col(f"bag{w}_b")))
-    both = F.col("len_a") + F.col("len_b")
-    once = (F.col("len_a") < F.col("len_b")) | (
-        (F.col("len_a") == F.col("len_b")) & (F.col("a") < F.col("b")))
-    candidates = (
-        shorter.join(longer, ["t", "band"])
-        .where(once & (F.col("len_a") * 200 >= both * threshold)
-               & (overlap * 200 >= both * threshold))
-        .select("a", "b", "text_a", "text_b").distinct()
-    )
+    once = (F.col("short") < F.col("long")) | (F.col("a") < F.col("b"))
+    enough = overlap * 200 >= (F.col("short") + F.col("long")) * threshold
+    pairs = shorter.join(longer, on).where(once & enough).select("a", "b").distinct()
+    texts = rows.select("ord", "text")
+    candidates = pairs.join(
+        texts.select(F.col("ord").alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(F.col("ord").alias("b"), F.col("text").alias("text_b")), "b")
     return (
         candidates.withColumn("common", lcs("text_a", "text_b"))
         .withColumn("both", F.length("text_a") + F.length("text_b"))
-        .where(F.col("common") * 200 >= F.col("both") * threshold)
+        .where(F.col("common") * 200 >= F.col("both") * threshold - eps)
         .select("a", "b", (F.col("common") * F.lit(200.0) / F.col("both")).alias("score"))
     )
 
@@ -136,7 +184,7 @@ def top_k_similar(names: DataFrame, k: int = BEST, threshold: float = THRESHOLD)
     Ties go to the name that appeared first. Only matches at or above the
     threshold are listed, which is all that grouping looks at.
     """
-    pairs = similar_pairs(names, threshold)
+    pairs = stage(similar_pairs(names, threshold), "pairs")
     both_ways = F.explode(F.array(F.struct(F.col("a").alias("ord"), F.col("b").alias("match")),
                                   F.struct(F.col("b").alias("ord"), F.col("a").alias("match"))))
     found = pairs.select(both_ways.alias("p"), "score").select("p.ord", "p.match", "score")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +29,9 @@ STOP_WORDS = [
     "why", "will", "with", "would", "you", "your",
 ]
 # Similarities at which rounds of the neighbour search stop, high to low.
-ROUNDS = (0.8, 0.5, 0.2)
+ROUNDS = (0.7, 0.3)
 DIGITS = 9
+CHUNK = 2_000
 
 
 def product_text(columns: Sequence[str] = TEXT_COLUMNS) -> Column:
@@ -99,30 +102,74 @@ def _rare_terms(weights: DataFrame, min_sim: float) -> DataFrame:
 
 def _vectors(weights: DataFrame) -> DataFrame:
     entry = F.struct("term", "weight")
-    return weights.groupBy("tid").agg(F.map_from_entries(F.collect_list(entry)).alias("v"))
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.map_entries(a), F.lit(0.0),
-        lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0)))
-
-
-def _similar(queries: DataFrame, weights: DataFrame, vectors: DataFrame,
-             min_sim: float, once: bool) -> DataFrame:
-    """Pairs (a, b, similarity) with a among the queries."""
-    rare = stage(_rare_terms(weights, min_sim), "rare-terms")
-    left = rare.join(queries.select("tid"), "tid", "left_semi").select(
-        F.col("tid").alias("a"), "term")
-    order = F.col("a") < F.col("b") if once else F.col("a") != F.col("b")
-    pairs = left.join(rare.select(F.col("tid").alias("b"), "term"), "term").where(order).select(
-        "a", "b").distinct()
-    scored = (
-        pairs.join(vectors.select(F.col("tid").alias("a"), F.col("v").alias("va")), "a")
-        .join(vectors.select(F.col("tid").alias("b"), F.col("v").alias("vb")), "b")
-        .select("a", "b", F.round(_dot(F.col("va"), F.col("vb")), DIGITS).alias("similarity"))
-    )
-    return scored.where((F.col("similarity") >= min_sim) & (F.col("similarity") > 0))
+    both = F.array_sort(F.collect_list(entry))
+    return weights.groupBy("tid").agg(both.alias("v")).select(
+        "tid", F.transform("v", lambda e: F.xxhash64(e["term"])).alias("terms"),
+        F.col("v.weight").alias("weights"))
+
+
+def _dense(rows: pd.DataFrame, places: np.ndarray) -> np.ndarray:
+    """Rows of term hashes and weights as a matrix over the given sorted hashes."""
+    lengths = rows["terms"].map(len).to_numpy()
+    terms = np.concatenate(rows["terms"].to_list())
+    out = np.zeros((len(rows), len(places)))
+    at = np.searchsorted(places, terms)
+    np.add.at(out, (np.repeat(np.arange(len(rows)), lengths), at),
+              np.concatenate(rows["weights"].to_list()))
+    return out
+
+
+def _similar(queries: DataFrame, weights: DataFrame, vectors: DataFrame, min_sim: float,
+             once: bool, best: int | None = None) -> DataFrame:
+    """Pairs (a, b, similarity) with a among the queries.
+
+    Texts meet at a shared rare term. The members of a term are cut into chunks
+    of bounded size and each two chunks are multiplied as one small matrix
+    product; with ``best`` a chunk pair returns at most that many matches per
+    text, which is enough to find the overall best.
+    """
+    rare = stage(_rare_terms(weights, min_sim).join(vectors, "tid"), "rare-terms")
+    asked = rare.join(queries.select("tid"), "tid", "left_semi")
+
+    def cuts(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy("term").agg(
+            F.ceil(F.count("*") / CHUNK).cast("int").alias(name))
+
+    parts = stage(cuts(asked, "cuts_a").join(cuts(rare, "cuts_b"), "term"), "cuts")
+
+    def chunks(side: DataFrame, own: str, own_cuts: str, other: str, other_cuts: str) -> DataFrame:
+        return side.join(parts, "term").select(
+            *[F.col(c).alias(c) for c in ("term", "tid", "terms", "weights")],
+            F.pmod(F.xxhash64("tid"), F.col(own_cuts)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.col(other_cuts) - 1)).alias(other))
+
+    left = chunks(asked, "part_a", "cuts_a", "part_b", "cuts_b")
+    right = chunks(rare, "part_b", "cuts_b", "part_a", "cuts_a")
+    floor = max(min_sim, 10.0 ** -DIGITS)
+
+    def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": [], "similarity": []})
+        a, b = a.sort_values("tid"), b.sort_values("tid")
+        places = np.unique(np.concatenate([*a["terms"], *b["terms"]]))
+        sims = np.round(_dense(a, places) @ _dense(b, places).T, DIGITS)
+        ids_a, ids_b = a["tid"].to_numpy(), b["tid"].to_numpy()
+        apart = ids_a[:, None] < ids_b if once else ids_a[:, None] != ids_b
+        sims = np.where(apart & (sims >= floor), sims, -1.0)
+        if best is not None and sims.shape[1] > best:
+            # A stable sort keeps the smaller id first among equals.
+            order = np.argsort(-sims, axis=1, kind="stable")[:, :best]
+            rows, cols = np.repeat(np.arange(len(ids_a)), best), order.ravel()
+        else:
+            rows, cols = np.nonzero(sims > 0)
+        kept = sims[rows, cols] > 0
+        rows, cols = rows[kept], cols[kept]
+        return pd.DataFrame({"a": ids_a[rows], "b": ids_b[cols], "similarity": sims[rows, cols]})
+
+    keys = ["term", "part_a", "part_b"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        multiply, "a long, b long, similarity double")
+    return found.dropDuplicates(["a", "b"])
 
 
 def cosine_pairs(weights: DataFrame, min_sim: float = 0.0) -> DataFrame:
@@ -132,8 +179,7 @@ def cosine_pairs(weights: DataFrame, min_sim: float = 0.0) -> DataFrame:
                     min_sim, once=True)
 
 
-def similar_texts(texts: DataFrame, weights: DataFrame, n: int,
-                  queries: DataFrame | None = None) -> DataFrame:
+def similar_texts(weights: DataFrame, n: int, queries: DataFrame | None = None) -> DataFrame:
     """For each text at least its ``n`` nearest other texts, as far as any share a term.
 
     Rounds go down in similarity. A text that has ``n`` neighbours at the
@@ -142,11 +188,10 @@ def similar_texts(texts: DataFrame, weights: DataFrame, n: int,
     """
     weights = stage(weights, "weights")
     vectors = stage(_vectors(weights), "vectors")
-    sizes = texts.select(F.col("tid").alias("b"))
     todo = (queries if queries is not None else weights).select("tid").distinct()
     done = None
     for level in (*ROUNDS, 0.0):
-        found = _similar(todo, weights, vectors, level, once=False).join(sizes, "b", "left_semi")
+        found = _similar(todo, weights, vectors, level, once=False, best=n)
         best = stage(top_per_group(found, ["a"], [F.desc("similarity"), "b"], n), "nearest")
         if level > 0:
             full = best.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") >= n).select(
@@ -174,7 +219,7 @@ def similar_products(docs: DataFrame, n: int = 10, queries: DataFrame | None = N
     weights = stage(weights, "tfidf")
     wanted = docs if queries is None else docs.join(queries.select("seq"), "seq", "left_semi")
     wanted = wanted.join(texts.select("text", "tid"), "text").select("seq", "tid")
-    near = similar_texts(texts, weights, n + 1, wanted.select("tid").distinct())
+    near = similar_texts(weights, n + 1, wanted.select("tid").distinct())
     own = weights.select("tid").distinct().select(
         F.col("tid").alias("a"), F.col("tid").alias("b"), F.lit(1.0).alias("similarity"))
     lists = texts.select(F.col("tid").alias("b"), F.explode("docs").alias("match"))
