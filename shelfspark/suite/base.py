@@ -32,7 +32,7 @@ def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6, nudge: float = 1e-8) -> DataFrame:
     """Round double columns; summation order may differ between runs.
 
     Means of prices in cents often end in an exact half, which engines round

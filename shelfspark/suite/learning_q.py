@@ -58,7 +58,7 @@ def _weights(spark, folder):
 
 
 @query("r02_tfidf", sql("""
-SELECT seq, term, round(weight, 6) AS weight FROM doc_weights""", "doc_weights"))
+SELECT seq, term, round(weight + 1e-8, 6) AS weight FROM doc_weights""", "doc_weights"))
 def r02(spark, folder):
     docs, weights = _weights(spark, folder)
     owners = docs.join(recommend.distinct_texts(docs), "text").select("seq", "tid")
@@ -347,7 +347,7 @@ def p12(spark, folder):
 
 
 @query("t01_search_to_deals", sql("""
-SELECT site, title, price, round(deal_score,6) AS deal_score, deal_tier FROM deal""", "deal"))
+SELECT site, title, price, round(deal_score + 1e-8, 6) AS deal_score, deal_tier FROM deal""", "deal"))
 def t01(spark, folder):
     return rounded(pipelines.search_to_deals(tables.offers(spark, folder)).select(
         "site", "title", "price", "deal_score", "deal_tier"))

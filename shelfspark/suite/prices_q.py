@@ -118,8 +118,8 @@ m10 = _group_query("m10_store_rank", "store_rank")
 
 
 @query("m11_store_competitiveness", sql("""
-SELECT seq, title, site, round(avg_price_vs_market,6) AS avg_price_vs_market,
- round(cheapest_rate,6) AS cheapest_rate FROM unified""", "unified"))
+SELECT seq, title, site, round(avg_price_vs_market + 1e-8, 6) AS avg_price_vs_market,
+ round(cheapest_rate + 1e-8, 6) AS cheapest_rate FROM unified""", "unified"))
 def m11(spark, folder):
     rows = cross_store.with_group_features(grouped_rows(spark, folder))
     return rounded(cross_store.with_store_competitiveness(rows).select(
@@ -127,8 +127,8 @@ def m11(spark, folder):
 
 
 @query("m11_store_table", sql("""
-SELECT site, times_cheapest, round(avg_price_vs_market,6) AS avg_price_vs_market, products_compared,
- round(cheapest_rate,6) AS cheapest_rate FROM stores""", "stores"))
+SELECT site, times_cheapest, round(avg_price_vs_market + 1e-8, 6) AS avg_price_vs_market, products_compared,
+ round(cheapest_rate + 1e-8, 6) AS cheapest_rate FROM stores""", "stores"))
 def m11_stores(spark, folder):
     return rounded(cross_store.store_competitiveness(
         cross_store.with_group_features(grouped_rows(spark, folder))))
@@ -136,7 +136,7 @@ def m11_stores(spark, folder):
 
 @query("m12_matching_summary", sql("""
 SELECT CAST(sum(num_stores) FILTER (num_stores >= 2) AS BIGINT) AS multi_store_listings,
- round(avg(price_range),6) AS avg_price_range, round(avg(price_range_pct),6) AS avg_price_range_pct
+ round(avg(price_range) + 1e-8, 6) AS avg_price_range, round(avg(price_range_pct) + 1e-8, 6) AS avg_price_range_pct
 FROM group_facts""", "group_facts"))
 def m12(spark, folder):
     return rounded(cross_store.matching_summary(
@@ -158,16 +158,16 @@ def _deal_query(name: str, columns: str, *picked: str):
 
 
 d02 = _deal_query(
-    "d02_price_percentile", "round(price_percentile,6) AS price_percentile, "
-    "round(unit_price_percentile,6) AS unit_price_percentile",
+    "d02_price_percentile", "round(price_percentile + 1e-8, 6) AS price_percentile, "
+    "round(unit_price_percentile + 1e-8, 6) AS unit_price_percentile",
     "price_percentile", "unit_price_percentile")
-d03 = _deal_query("d03_value_score", "round(value_score,6) AS value_score", "value_score")
-d04 = _deal_query("d04_pack_efficiency", "round(pack_efficiency::DOUBLE,6) AS pack_efficiency",
+d03 = _deal_query("d03_value_score", "round(value_score + 1e-8, 6) AS value_score", "value_score")
+d04 = _deal_query("d04_pack_efficiency", "round(pack_efficiency::DOUBLE + 1e-8, 6) AS pack_efficiency",
                   "pack_efficiency")
 d06 = _deal_query("d06_store_rank", "CAST(store_rank AS INTEGER) AS store_rank, "
-                  "round(store_rank_normalized,6) AS store_rank_normalized",
+                  "round(store_rank_normalized + 1e-8, 6) AS store_rank_normalized",
                   "store_rank", "store_rank_normalized")
-d07 = _deal_query("d07_deal_score", "round(deal_score,6) AS deal_score", "deal_score")
+d07 = _deal_query("d07_deal_score", "round(deal_score + 1e-8, 6) AS deal_score", "deal_score")
 d08 = _deal_query("d08_deal_tier", "deal_tier", "deal_tier")
 
 
@@ -182,7 +182,7 @@ def d05(spark, folder):
 
 @query("d09_tier_distribution", sql("""
 SELECT CAST(tier_order AS INTEGER) AS tier_order, t.deal_tier, count(seq) AS n_listings,
- round(count(seq) / (SELECT count(*) FROM deal) * 100, 6) AS pct
+ round(count(seq) / (SELECT count(*) FROM deal) * 100 + 1e-8, 6) AS pct
 FROM (VALUES (0,'Excellent'),(1,'Good'),(2,'Fair'),(3,'Poor')) t(tier_order, deal_tier)
 LEFT JOIN deal USING (deal_tier) GROUP BY ALL""", "deal"))
 def d09(spark, folder):
@@ -190,14 +190,14 @@ def d09(spark, folder):
 
 
 @query("d10_top_deals", sql("""
-SELECT site, title, price, round(unit_price,6) AS unit_price, round(deal_score,6) AS deal_score,
+SELECT site, title, price, round(unit_price + 1e-8, 6) AS unit_price, round(deal_score + 1e-8, 6) AS deal_score,
  deal_tier FROM deal ORDER BY deal.deal_score DESC, site, title, price LIMIT 5""", "deal"))
 def d10(spark, folder):
     return rounded(deals.top_deals(deal_rows(spark, folder), 5, ("site", "title", "price")))
 
 
 @query("d11_store_performance", sql("""
-SELECT site, round(avg(unit_price),6) AS avg_unit_price, round(avg(deal_score),6) AS avg_deal_score,
+SELECT site, round(avg(unit_price) + 1e-8, 6) AS avg_unit_price, round(avg(deal_score) + 1e-8, 6) AS avg_deal_score,
  count(price) AS n_listings FROM deal GROUP BY site""", "deal"))
 def d11(spark, folder):
     return rounded(deals.store_performance(deal_rows(spark, folder)))
@@ -211,8 +211,8 @@ def d12(spark, folder):
 
 @query("d13_cluster_profile", sql("""
 SELECT a.product_cluster, avg_price, avg_unit_price, avg_deal_score, n_listings, top_site
-FROM (SELECT CAST(seq % 4 AS INTEGER) AS product_cluster, round(avg(price),6) AS avg_price,
-  round(avg(unit_price),6) AS avg_unit_price, round(avg(deal_score),6) AS avg_deal_score,
+FROM (SELECT CAST(seq % 4 AS INTEGER) AS product_cluster, round(avg(price) + 1e-8, 6) AS avg_price,
+  round(avg(unit_price) + 1e-8, 6) AS avg_unit_price, round(avg(deal_score) + 1e-8, 6) AS avg_deal_score,
   count(*) AS n_listings FROM deal GROUP BY 1) a
 JOIN (SELECT product_cluster, site AS top_site FROM (SELECT CAST(seq % 4 AS INTEGER) AS product_cluster,
   site, row_number() OVER (PARTITION BY seq % 4 ORDER BY count(*) DESC, site) AS n FROM deal
@@ -271,18 +271,18 @@ def model_rows(spark, folder):
 
 
 @query("b01_global_price_stats", sql("""
-SELECT round(mean_price,6) AS mean_price, round(std_price,6) AS std_price, min_price, max_price, n_rows,
- round(median_price,6) AS median_price FROM overall""", "overall"))
+SELECT round(mean_price + 1e-8, 6) AS mean_price, round(std_price + 1e-8, 6) AS std_price, min_price, max_price, n_rows,
+ round(median_price + 1e-8, 6) AS median_price FROM overall""", "overall"))
 def b01(spark, folder):
     return rounded(deal_model.global_price_stats(feature_rows(spark, folder)))
 
 
 @query("b02_price_stats_by", sql("""
-SELECT 'brand' AS dimension, brand AS key, round(avg(price),6) AS mean_price,
- round(stddev_samp(price),6) AS std_price, count(price) AS n_rows FROM priced GROUP BY brand
-UNION ALL SELECT 'category', category, round(avg(price),6), round(stddev_samp(price),6), count(price)
+SELECT 'brand' AS dimension, brand AS key, round(avg(price) + 1e-8, 6) AS mean_price,
+ round(stddev_samp(price) + 1e-8, 6) AS std_price, count(price) AS n_rows FROM priced GROUP BY brand
+UNION ALL SELECT 'category', category, round(avg(price) + 1e-8, 6), round(stddev_samp(price) + 1e-8, 6), count(price)
 FROM priced GROUP BY category
-UNION ALL SELECT 'site', site, round(avg(price),6), round(stddev_samp(price),6), count(price)
+UNION ALL SELECT 'site', site, round(avg(price) + 1e-8, 6), round(stddev_samp(price) + 1e-8, 6), count(price)
 FROM priced GROUP BY site""", "priced"))
 def b02(spark, folder):
     return rounded(deal_model.price_stats_by(feature_rows(spark, folder)))
@@ -297,14 +297,14 @@ def b03(spark, folder):
 
 
 @query("b04_raw_deal_score", sql("""
-SELECT seq, title, price, round(raw_deal_score,6) AS raw_deal_score FROM raw_scores""", "raw_scores"))
+SELECT seq, title, price, round(raw_deal_score + 1e-8, 6) AS raw_deal_score FROM raw_scores""", "raw_scores"))
 def b04(spark, folder):
     _, scored = deal_model.train(model_rows(spark, folder))
     return rounded(scored.select("seq", "title", "price", "raw_deal_score"))
 
 
 @query("b05_scale_0_100", sql("""
-SELECT seq, title, price, round(deal_score,6) AS deal_score FROM learned""", "learned"))
+SELECT seq, title, price, round(deal_score + 1e-8, 6) AS deal_score FROM learned""", "learned"))
 def b05(spark, folder):
     _, scored = deal_model.train(model_rows(spark, folder))
     return rounded(scored.select("seq", "title", "price", "deal_score"))
@@ -312,7 +312,7 @@ def b05(spark, folder):
 
 @query("b06_score_new", sql("""
 SELECT seq, title, price, round(greatest(0, least(100, 100 * ((raw_deal_score - low)
- / (high - low + 0.01)))),6) AS deal_score
+ / (high - low + 0.01)))) + 1e-8, 6) AS deal_score
 FROM coming_raw, (SELECT min(raw_deal_score) AS low, max(raw_deal_score) AS high FROM past_raw)""",
                             "past_raw", "coming_raw"))
 def b06(spark, folder):
@@ -323,8 +323,8 @@ def b06(spark, folder):
 
 
 @query("b07_top_deals", sql("""
-SELECT title, brand, category, price, site, round(deal_score,6) AS deal_score,
- CAST(round(price_per_unit,6) AS DOUBLE) AS price_per_unit
+SELECT title, brand, category, price, site, round(deal_score + 1e-8, 6) AS deal_score,
+ CAST(round(price_per_unit + 1e-8, 6) AS DOUBLE) AS price_per_unit
 FROM learned ORDER BY learned.deal_score DESC, title, site, price LIMIT 20""", "learned"))
 def b07(spark, folder):
     _, scored = deal_model.train(model_rows(spark, folder))
@@ -347,7 +347,7 @@ def v01(spark, folder):
 
 
 @query("v02_key_metrics", sql("""
-SELECT c.price AS cheapest_price, c.site AS cheapest_site, round(u.unit_price,6) AS best_unit_price,
+SELECT c.price AS cheapest_price, c.site AS cheapest_site, round(u.unit_price + 1e-8, 6) AS best_unit_price,
  u.unit_price_unit AS best_unit, u.site AS best_unit_site, m.site AS top_site, m.n AS top_site_listings,
  (SELECT count(*) FROM feat) AS n_listings, (SELECT count(DISTINCT site) FROM feat) AS n_sites
 FROM (SELECT * FROM feat WHERE price IS NOT NULL ORDER BY price, site, title, seq LIMIT 1) c,
@@ -358,16 +358,16 @@ def v02(spark, folder):
 
 
 @query("v03_best_value", sql("""
-SELECT site, title, price, size_value, size_unit, round(unit_price,6) AS unit_price, unit_price_unit,
- round(per_unit_price,6) AS per_unit_price FROM feat WHERE feat.unit_price IS NOT NULL
+SELECT site, title, price, size_value, size_unit, round(unit_price + 1e-8, 6) AS unit_price, unit_price_unit,
+ round(per_unit_price + 1e-8, 6) AS per_unit_price FROM feat WHERE feat.unit_price IS NOT NULL
 ORDER BY feat.unit_price, site, title, seq, price LIMIT 20""", "feat"))
 def v03(spark, folder):
     return rounded(views.best_value(feature_rows(spark, folder), 20))
 
 
 @query("v04_price_box_by_store", sql("""
-SELECT site, min(price) AS min_price, round(quantile_cont(price, 0.25),6) AS q1,
- round(quantile_cont(price, 0.5),6) AS median_price, round(quantile_cont(price, 0.75),6) AS q3,
+SELECT site, min(price) AS min_price, round(quantile_cont(price, 0.25) + 1e-8, 6) AS q1,
+ round(quantile_cont(price, 0.5) + 1e-8, 6) AS median_price, round(quantile_cont(price, 0.75) + 1e-8, 6) AS q3,
  max(price) AS max_price FROM feat GROUP BY site""", "feat"))
 def v04(spark, folder):
     return rounded(views.price_box_by_store(feature_rows(spark, folder)))
@@ -389,8 +389,8 @@ def v06(spark, folder):
 
 
 @query("v07_store_table", sql("""
-SELECT site, round(avg(price),6) AS avg_price, min(price) AS min_price, count(price) AS n_listings,
- round(avg(unit_price),6) AS avg_unit_price FROM feat GROUP BY site""", "feat"))
+SELECT site, round(avg(price) + 1e-8, 6) AS avg_price, min(price) AS min_price, count(price) AS n_listings,
+ round(avg(unit_price) + 1e-8, 6) AS avg_unit_price FROM feat GROUP BY site""", "feat"))
 def v07(spark, folder):
     return rounded(views.store_table(feature_rows(spark, folder)))
 
@@ -412,8 +412,8 @@ def v09(spark, folder):
 
 
 @query("v10_score_histogram", sql("""
-SELECT CAST(bin AS INTEGER) AS bin, round(low + bin * width, 6) AS bin_start,
- round(low + (bin + 1) * width, 6) AS bin_end, count(*) AS n_listings
+SELECT CAST(bin AS INTEGER) AS bin, round(low + bin * width + 1e-8, 6) AS bin_start,
+ round(low + (bin + 1) * width + 1e-8, 6) AS bin_end, count(*) AS n_listings
 FROM (SELECT least(9, floor((deal_score - low) / width)) AS bin, low, width FROM deal,
  (SELECT min(deal_score) AS low, (max(deal_score) - min(deal_score)) / 10 AS width FROM deal))
 GROUP BY bin, low, width""", "deal"))

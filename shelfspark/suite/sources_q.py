@@ -88,12 +88,12 @@ def s07(spark, folder):
 
 
 _BY_KEY = """
-SELECT 'brand' AS dimension, brand AS key, round(avg(price),6) AS mean_price,
- round(stddev_samp(price),6) AS std_price, count(price) AS n_rows
+SELECT 'brand' AS dimension, brand AS key, round(avg(price) + 1e-8, 6) AS mean_price,
+ round(stddev_samp(price) + 1e-8, 6) AS std_price, count(price) AS n_rows
 FROM feat WHERE price IS NOT NULL GROUP BY brand
-UNION ALL SELECT 'category', category, round(avg(price),6), round(stddev_samp(price),6), count(price)
+UNION ALL SELECT 'category', category, round(avg(price) + 1e-8, 6), round(stddev_samp(price) + 1e-8, 6), count(price)
 FROM feat WHERE price IS NOT NULL GROUP BY category
-UNION ALL SELECT 'site', site, round(avg(price),6), round(stddev_samp(price),6), count(price)
+UNION ALL SELECT 'site', site, round(avg(price) + 1e-8, 6), round(stddev_samp(price) + 1e-8, 6), count(price)
 FROM feat WHERE price IS NOT NULL GROUP BY site"""
 
 
