@@ -84,23 +84,29 @@ def global_key() -> Column:
     return F.coalesce(blank_to_null("product_id"), blank_to_null("product_url"), F.col("title"))
 
 
-def _dedupe(df: DataFrame, key: Column, within: Sequence[str], order: Sequence[str]) -> DataFrame:
+def _dedupe(df: DataFrame, key: Column, within: Sequence[str], order: Sequence[str],
+            keyless: Column | None = None) -> DataFrame:
+    """First row per key; rows without a key all stay.
+
+    ``keyless`` is a plain condition every row without a key meets, so that the
+    scan for those rows can skip most of the table.
+    """
     keyed = df.withColumn("_key", key)
     kept = first_per_key(keyed.where(F.col("_key").isNotNull()), [*within, "_key"], order)
-    loose = keyed.where(F.col("_key").isNull())
-    return kept.unionByName(loose).select(*df.columns)
+    loose = keyed if keyless is None else df.where(keyless).withColumn("_key", key)
+    return kept.unionByName(loose.where(F.col("_key").isNull())).select(*df.columns)
 
 
 def dedupe_page(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    return _dedupe(df, page_key(), [], order)
+    return _dedupe(df, page_key(), [], order, F.col("title").isNull())
 
 
 def dedupe_category(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    return _dedupe(df, category_key(), ["site", "category"], order)
+    return _dedupe(df, category_key(), ["site", "category"], order, F.col("title").isNull())
 
 
 def dedupe_global(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    return _dedupe(df, global_key(), ["site"], order)
+    return _dedupe(df, global_key(), ["site"], order, F.col("title").isNull())
 
 
 def search_policy(df: DataFrame, query: str, order: Sequence[str],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from shelfspark.operators import cross_store, pricing, recommend
@@ -303,19 +305,39 @@ def model_table(spark, folder):
     return train, test, pricing.feature_columns(rows)
 
 
-@query("p04_assemble")
+_INPUTS = [*pricing.NUMERIC, *pricing.BINARY, *[f"{c}_encoded" for c in pricing.CATEGORICAL]]
+define("model_table", f"""
+SELECT seq, price_numeric, {", ".join(f"COALESCE(CAST({c} AS DOUBLE), 0) AS {c}"
+                                      for c in [*pricing.NUMERIC, *pricing.BINARY])},
+ {_CODES}, {_TRAIN.format(k="seq")} AS is_train FROM unified""", ["unified"])
+
+
+def _unpacked(rows):
+    """The feature vector as columns, named after the inputs."""
+    cells = vector_to_array("features")
+    return rounded(rows.select("seq", "price_numeric", *[
+        cells[i].alias(c) for i, c in enumerate(_INPUTS)]), 4, NUDGE)
+
+
+@query("p04_assemble", sql(
+    f"SELECT seq, {_near('price_numeric', *_INPUTS)} FROM model_table WHERE is_train", "model_table"))
 def p04(spark, folder):
     train, _, inputs = model_table(spark, folder)
-    return pricing.assemble(inputs).transform(train).select(
-        "seq", F.col("features").cast("string").alias("features"))
+    return _unpacked(pricing.assemble(inputs).transform(train))
+
+
+_SCALED = ", ".join(
+    f"round(COALESCE(({c} - (SELECT avg({c}) FROM model_table WHERE is_train)) / NULLIF((SELECT "
+    f"stddev_samp({c}) FROM model_table WHERE is_train), 0), 0) + {NUDGE}, 4) AS {c}" for c in _INPUTS)
 
 
-@query("p06_standardise")
+@query("p06_standardise", sql(
+    f"SELECT seq, {_near('price_numeric')}, {_SCALED} FROM model_table WHERE NOT is_train",
+    "model_table"))
 def p06(spark, folder):
-    from pyspark.ml import Pipeline
     train, test, inputs = model_table(spark, folder)
     scaler = Pipeline(stages=pricing.standardised(inputs)).fit(train)
-    return scaler.transform(test).select("seq", F.col("features").cast("string").alias("features"))
+    return _unpacked(scaler.transform(test))
 
 
 @query("p07_random_forest")
