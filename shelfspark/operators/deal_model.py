@@ -182,13 +182,15 @@ def isolation_trees(df: DataFrame, features: list[str], trees: int = TREES,
                     seed: int = 42) -> DataFrame:
     """Grow the trees, each in its own group on a sample of at most 256 rows.
 
-    Sampling belongs to the method. A pool of fixed size is taken by hash, then
-    each tree draws its rows from the pool, so no group exceeds 256 rows.
+    Sampling belongs to the method. A pool of fixed size is taken by a seeded
+    number per row, so that copies are drawn in proportion; each tree then draws
+    its rows from the pool, and no group exceeds 256 rows.
     """
     points = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
                          for c in features])
-    tagged = points.withColumn("_h", F.xxhash64(*features, F.lit(seed)))
+    tagged = stage(points, "points").withColumn("_h", F.rand(seed))
     pool = tagged.orderBy("_h", *features).limit(trees * TREE_ROWS)
+    pool = stage(pool, "pool")
     draws = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     spot = Window.partitionBy("tree").orderBy(F.xxhash64("_h", "tree"), *features)
     drawn = draws.withColumn("_n", F.row_number().over(spot)).where(F.col("_n") <= TREE_ROWS)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,6 +140,19 @@ def union_sites(tables: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+def union_loaded(loaders: Mapping[str, Callable[[], DataFrame]]) -> tuple[DataFrame, list[str]]:
+    """Union of the stores that load, and the names of those that do not."""
+    tables, failed = [], []
+    for name, load in loaders.items():
+        try:
+            tables.append(load())
+        except (AnalysisException, ValueError):
+            failed.append(name)
+    if not tables:
+        raise ValueError("no store could be loaded")
+    return union_sites(tables), failed
+
+
 def count_by(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"))
 

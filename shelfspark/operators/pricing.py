@@ -18,7 +18,7 @@ from shelfspark.functions.text import number
 from shelfspark.operators.stats import (
     RANGE_ROWS, one_row, quantiles, sorted_codes, value_counts,
 )
-from shelfspark.session import stage
+from shelfspark.session import spread, stage
 
 # Model inputs, and what stands in for a missing one when scoring.
 NUMERIC = ["size_value", "normalized_quantity", "pack_count", "total_volume", "avg_price",
@@ -206,15 +206,13 @@ def neural_regressor(train: DataFrame, features: Sequence[str], label: str = "pr
     per weight. A tenth of the rows, chosen by key, is held out; training stops
     when its error has not improved for ``patience`` rounds.
     """
-    spark = train.sparkSession
     scaler = Pipeline(stages=standardised(features)).fit(train)
     facts = train.agg(F.avg(label).alias("m"), F.stddev_pop(label).alias("s")).first()
     mean, scale = float(facts["m"]), float(facts["s"] or 1.0) or 1.0
     table = stage(scaler.transform(train).select(
         vector_to_array("features").alias("x"), ((F.col(label) - mean) / scale).alias("y"),
         is_train(F.concat(F.lit("held-out-"), F.col(key).cast("string")), 90).alias("fit")), "net")
-    cores = spark.sparkContext.defaultParallelism
-    rows = table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    rows = spread(table)
     rng = np.random.default_rng(seed)
     sizes = [len(features), *hidden, 1]
     weights: list = []

@@ -96,6 +96,16 @@ def test_outliers_stand_out(spark):
     assert got["outlier_score"].between(0, 1).all()
 
 
+def test_copies_do_not_take_over_the_sample(spark):
+    rows = spark.createDataFrame(
+        [(50.0, 5.0)] * 400 + [(float(i), float(i % 9)) for i in range(400)],
+        "price double, price_per_unit double")
+    trees = deal_model.isolation_trees(rows, ["price", "price_per_unit"], trees=3).toPandas()
+    sizes = trees[trees["node"] == 0]["size"]
+    assert len(sizes) == 3 and sizes.eq(256).all()
+    assert trees.groupby("tree")["node"].count().min() > 50
+
+
 def test_first_arrival_wins(spark):
     rows = spark.createDataFrame(
         [(1, "A", "c", "7", "Tea", "u1"), (2, "A", "c", "7", "Tea 2", "u2"),

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.operators import pricing
+from shelfspark.operators.listings import union_loaded
 from shelfspark.plans import pipelines
 from shelfspark.session import cut_lineage, shared_dir, stage
 from shelfspark.sources import listings as io
@@ -28,6 +29,12 @@ def test_read_many_skips_bad_files(spark, tmp_path):
         io.read_many(spark, [str(tmp_path / "c_features.csv")])
 
 
+def test_one_failing_store_does_not_stop_the_rest(spark):
+    good = spark.createDataFrame([("A", "Tea")], "site string, title string")
+    rows, failed = union_loaded({"A": lambda: good, "B": lambda: spark.read.parquet("/absent/b")})
+    assert rows.count() == 1 and failed == ["B"]
+
+
 def test_layers(spark, tmp_path):
     rows = spark.createDataFrame([("A", "Tea", "10")], "site string, title string, price string")
     io.write_table(rows, str(tmp_path / "t"), io.LISTING_RAW, partition_by=["site"])
