@@ -1,4 +1,4 @@
 """The registered queries of this subpackage."""
 
-from shelfspark.llm import exact_dedup, line_dedup  # noqa: F401
+from shelfspark.llm import bpe, exact_dedup, line_dedup, packing  # noqa: F401
 from shelfspark.llm.common import ORACLES, QUERIES  # noqa: F401
