@@ -25,11 +25,14 @@ def md5_bytes(text: Column) -> Column:
 
 
 def _best(rows: DataFrame, *keys: str) -> DataFrame:
-    """Per key: rows, and the one that stays. Complements turn smallest first into largest."""
-    return rows.groupBy(*keys).agg(
+    """Per key: rows, and the one that stays. Complements turn smallest first into largest.
+
+    Written, so that the join on it stands on two plain exchanges and a hot key can be split.
+    """
+    return stage(rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("group_size"),
         F.max(F.struct("points", F.bitwise_not("doc_id").alias("id"),
-                       F.bitwise_not("row").alias("row"))).alias("best"))
+                       F.bitwise_not("row").alias("row"))).alias("best")), "groups")
 
 
 def _decided(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
