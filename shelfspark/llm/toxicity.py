@@ -30,6 +30,7 @@ from shelfspark.llm.common import SPACES, arrow_texts, documents, id_text, label
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1000, 3000, 20_000
 FOLDS = 5
 STEPS, RATE, PULL = 40, 0.3, 1e-3  # gradient steps, their size, and the pull towards 0
+LEAST = 0.02  # smaller weights are left out
 SIGNIFICANT = 25.0  # G of a feature that labels tokens
 PREFIXES = (3, 4, 5, 6, 7)
 CACHE = 1 << 18
@@ -167,7 +168,8 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Field:
         slope = target - expected - PULL * len(texts) * at / 10
         pace += slope ** 2
         at += RATE * 2 * slope / np.sqrt(pace)
-    field = Field({f: float(at[i]) for f, i in index.items() if abs(at[i]) > 1e-4},
+    at[:-4][np.abs(at[:-4]) < LEAST] = 0
+    field = Field({f: float(at[i]) for f, i in index.items() if at[i]},
                   float(at[-4]), float(at[-3]), float(at[-2]), float(at[-1]))
     e_word = np.bincount(of_word, at[:-4][of_feature], len(number)) + at[-4]
     best, mass = sums(marginals(field, e_word[word], length)[0], doc, len(texts))
