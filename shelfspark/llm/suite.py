@@ -1,4 +1,4 @@
 """The registered queries of this subpackage."""
 
-from shelfspark.llm import bpe, exact_dedup, jaccard_join, line_dedup, packing, quality_rules, secrets, toxicity, warc  # noqa: F401
+from shelfspark.llm import bpe, exact_dedup, jaccard_join, line_dedup, packing, perplexity, quality_rules, secrets, toxicity, warc  # noqa: F401
 from shelfspark.llm.common import ORACLES, QUERIES  # noqa: F401
