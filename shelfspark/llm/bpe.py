@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import arrow_texts, documents, id_text, query
+from shelfspark.llm.common import arrow_texts, documents, id_text, per_worker, query
 
 #: Fixed: the pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -277,7 +277,7 @@ class Decoder:
 
 def _encode_rows(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Merges(path))
+        encoder = per_worker(f"encoder {path}", lambda: Encoder(Merges(path)))
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
@@ -290,7 +290,7 @@ def _encode_rows(path: str):
 
 def _decode_rows(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(Merges(path))
+        decoder = per_worker(f"decoder {path}", lambda: Decoder(Merges(path)))
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)

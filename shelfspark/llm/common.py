@@ -72,5 +72,17 @@ def shared_files(uri: str):
     return fs.LocalFileSystem(), uri
 
 
+def per_worker(name: str, make: Callable):
+    """An object that lives as long as the Python worker, for bounded caches that tasks share."""
+    import sys
+    import types
+
+    box = sys.modules.setdefault("_shelfspark_worker", types.ModuleType("_shelfspark_worker"))
+    if name not in vars(box):
+        setattr(box, name, make())
+    return getattr(box, name)
+
+
 __all__ = ["BROADCAST_IDS", "ORACLES", "QUERIES", "SPACES", "arrow_texts", "bounded", "documents",
-           "id_text", "labels", "query", "shared_files", "stage", "total", "work_path"]
+           "id_text", "labels", "per_worker",
+           "query", "shared_files", "stage", "total", "work_path"]

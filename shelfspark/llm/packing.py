@@ -10,6 +10,9 @@ that length. Ranks come from counts by (task, length), so no length is gathered
 
 from __future__ import annotations
 
+import gc
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,18 +20,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import arrow_texts, documents, id_text, query, stage
+from shelfspark.llm.common import arrow_texts, documents, id_text, per_worker, query, stage
 
 SIZE = 4096
 END = 2
-CACHE, KEEP = 1 << 18, 48  # cached words, and the longest that is kept
+CACHE, KEEP = 1 << 19, 48  # entries of each cache of words, and the longest that is kept
+STEM = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@[-`{-~]*)")
 
 PIECE = ("doc_id long, start long, length long, doc_tokens long, ids binary, "
          "task long, rank long")
 
 
 class Words:
-    """Ids of a text by words between ASCII white space, which the vocabulary never crosses."""
+    """Ids of a text by words between ASCII white space, which the vocabulary never crosses.
+
+    A word that is a stem of plain Latin letters and a tail of ASCII marks (no apostrophe) has the ids
+    of the lower-cased stem and of the tail: normalisation leaves both as they are, and the
+    vocabulary's pattern always parts letters from marks.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -37,25 +46,40 @@ class Words:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of words not met before."""
+        texts = [word.decode() for word in words]
+        found = [STEM.fullmatch(text) for text in texts]
+        heads = [m[1].lower() if m else text for m, text in zip(found, texts)]
+        tails = [m[2] if m else "" for m in found]
+        parts = self.parts
+        if len(parts) > CACHE:
+            parts.clear()
+        fresh = list({*heads, *tails}.difference(parts))
+        for start in range(0, len(fresh), 4096):
+            some = fresh[start:start + 4096]
+            codes = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            parts.update(zip(some, [struct.pack(f"<{len(c)}I", *c.ids) for c in codes]))
+        self.known.update(zip(words, [parts[a] + parts[b] for a, b in zip(heads, tails)]))
+        for text in fresh:
+            if len(text) > KEEP:
+                del parts[text]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        known, out = self.known, []
+        if len(known) > CACHE:
+            known.clear()
         split = [text.split() for text in texts]
-        known = self.known
         missing = list(set().union(*split).difference(known))
-        if len(known) + len(missing) > CACHE:
-            known.clear()
-            missing = list(set().union(*split))
-        found = {}
-        for start in range(0, len(missing), 4096):
-            part = missing[start:start + 4096]
-            codes = self.tokenizer.encode_batch_fast([x.decode() for x in part],
-                                                     add_special_tokens=False)
-            for word, code in zip(part, codes):
-                (known if len(word) <= KEEP else found)[word] = np.array(code.ids, "<u4").tobytes()
-        if found:
-            return [b"".join([known[w] if w in known else found[w] for w in words])
-                    for words in split]
-        return [b"".join([known[w] for w in words]) for words in split]
+        self._learn(missing)
+        for words in split:
+            out.append(b"".join([known[w] for w in words]))
+        for word in missing:
+            if len(word) > KEEP:
+                del known[word]
+        return out
 
 
 def _cut(path: str, size: int, end: int):
@@ -66,8 +90,10 @@ def _cut(path: str, size: int, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
 
-        words, task, seen = Words(path), TaskContext.get().partitionId(), [0] * (size + 1)
+        words = per_worker(f"words {path}", lambda: Words(path))
+        task, seen = TaskContext.get().partitionId(), [0] * (size + 1)
         last = end.to_bytes(4, "little")
+        gc.disable()  # nothing here makes cycles, and a collection would walk the caches
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -85,6 +111,7 @@ def _cut(path: str, size: int, end: int):
                     [pa.array(c, pa.binary() if i == 4 else pa.int64())
                      for i, c in enumerate(zip(*rows))],
                     names=["doc_id", "start", "length", "doc_tokens", "ids", "task", "rank"])
+        gc.enable()
     return run
 
 
@@ -140,14 +167,14 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, id_col: s
               for length, first, count, sequence, offset in places]
     if full:
         places.append((size, 0, full, 0, 0))
-    # a few times ``size`` rows at most: a length opens or splits one pattern at a time
+    # its size depends on ``size``, not on the number of documents
     table = spark.createDataFrame(
         places, "length long, first long, count long, sequence long, offset long")
     before = by_task.select("length", "task", (F.sum("n").over(
         Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("base"))
     # every (task, length) is cut where a place begins, so each rest finds its place by equality
     # of (length, task) and the range of ranks
-    spans = (by_task.join(before, ["length", "task"]).join(F.broadcast(table), "length")
+    spans = (by_task.join(before, ["length", "task"]).join(table, "length")
              .filter("first < base + n AND base < first + count"))
     return (pieces.join(spans.select("length", "task", "base", "first", "count", "sequence",
                                      "offset"), ["length", "task"])
