@@ -176,9 +176,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     found = marked.filter(F.size("suspects") > 0).select(
         "row", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.inline("suspects"))
-    repeated = (found.groupBy("key").agg(F.count_distinct("doc").alias("docs"),
-                                         F.max("doc").alias("last"))
-                .filter(F.col("docs") >= min_docs).select("key", "last"))
+    # written, so that the join on it stands on two plain exchanges and a hot key can be split
+    repeated = stage(found.groupBy("key").agg(F.count_distinct("doc").alias("docs"),
+                                              F.max("doc").alias("last"))
+                     .filter(F.col("docs") >= min_docs).select("key", "last"), "repeated")
     dropped = (found.join(repeated, "key").filter("doc <> last")
                .groupBy("row").agg(F.collect_list("line").alias("dropped")))
     rebuilt = (marked.filter(F.size("suspects") > 0).select("row", "doc_id", "text", "n_lines")
