@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import string
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import SPACES, arrow_texts, documents, id_text, labels, query
+from shelfspark.llm.common import SPACES, arrow_texts, documents, id_text, labels, query, stage
 
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1000, 3000, 20_000
+FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 600, 1800, 8_000
 FOLDS = 5
 STEPS, RATE, PULL = 40, 0.3, 1e-3  # gradient steps, their size, and the pull towards 0
 LEAST = 0.02  # smaller weights are left out
 SIGNIFICANT = 25.0  # G of a feature that labels tokens
+NEGLIGIBLE = 0.1  # marginals below it are not summed; long texts have many
 PREFIXES = (3, 4, 5, 6, 7)
 CACHE = 1 << 18
 PUNCTUATION = string.punctuation.encode()
@@ -96,52 +97,56 @@ def marginals(field: Field, e: np.ndarray, lengths: np.ndarray) -> tuple[np.ndar
 
 
 def sums(p: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Largest marginal and sum of marginals of each document."""
+    """Largest marginal of each document, and the sum of those that are not negligible."""
     best = np.zeros(n)
     np.maximum.at(best, owner, p)
-    return best, np.bincount(owner, p, n)
-
-
-def label_features(docs: list[set[str]], toxic: np.ndarray) -> set[str]:
-    """Features found in toxic documents far more often than chance allows."""
-    n1, n0 = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
-    in1, in0 = Counter(), Counter()
-    for found, bad in zip(docs, toxic.tolist()):
-        (in1 if bad else in0).update(found)
-    out = set()
-    for f, x in in1.items():
-        y = in0.get(f, 0)
-        share = n1 / (n1 + n0)
-        g = 2 * (x * np.log(x / ((x + y) * share))
-                 + (y * np.log(y / ((x + y) * (1 - share))) if y else 0.0))
-        if x / n1 > 9 * y / n0 and g >= SIGNIFICANT:
-            out.add(f)
-    return out
+    return best, np.bincount(owner, np.where(p >= NEGLIGIBLE, p, 0.0), n)
+
+
+def label_features(in1: np.ndarray, in0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Which features are in toxic documents far more often than chance allows."""
+    share = n1 / (n1 + n0)
+    both = np.maximum(in1 + in0, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (np.where(in1 > 0, in1 * np.log(in1 / (both * share)), 0.0)
+                 + np.where(in0 > 0, in0 * np.log(in0 / (both * (1 - share))), 0.0))
+    return (in1 / n1 > 9 * in0 / n0) & (g >= SIGNIFICANT)
 
 
-def fit(texts: list[bytes], toxic: np.ndarray) -> Field:
-    """The field, and the document rule on top of it, from labelled documents."""
+def fit(texts: list[bytes], toxic: np.ndarray, odds: float = 1.0) -> Field:
+    """The field, and the document rule on top of it, from labelled documents.
+
+    ``odds``: toxic over clean documents among all labelled ones, over the same in the sample.
+    """
     if not toxic.any() or toxic.all():
         return Field({}, -10.0, 0.0, 0.0, 0.0, (-5.0 if not toxic.any() else 5.0, 0.0, 0.0))
     number: dict[bytes, int] = {}
-    words, lengths, owner = [], [], []
-    for i, text in enumerate(texts):
+    per_doc, lengths = [], []
+    for text in texts:
         found, lines = tokens(text)
-        words += [number.setdefault(w, len(number)) for w in found]
+        per_doc.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32,
+                                   len(found)))
         lengths += lines
-        owner += [i] * len(found)
-    word, length, doc = np.array(words, np.int64), np.array(lengths, np.int64), np.array(owner, np.int64)
+    word, length = np.concatenate(per_doc), np.array(lengths, np.int64)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x in per_doc])
     index: dict[str, int] = {}
-    own = [features(w) for w in number]
-    pairs = [(i, index.setdefault(f, len(index))) for i, fs in enumerate(own) for f in fs]
-    of_word, of_feature = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (
-        np.empty(0, np.int64),) * 2
-    seen = [set() for _ in texts]
-    for d, w in set(zip(owner, words)):
-        seen[d].update(own[w])
-    strong = label_features(seen, toxic)
-    strong_word = np.array([any(f in strong for f in fs) for fs in own], bool)
-    y = (strong_word[word] & toxic[doc]).astype(float) if len(word) else np.empty(0)
+    of_word, of_feature = array("i"), array("i")
+    for i, w in enumerate(number):
+        for f in features(w):
+            of_word.append(i)
+            of_feature.append(index.setdefault(f, len(index)))
+    of_word, of_feature = (np.array(x, np.int32) for x in (of_word, of_feature))
+    start = np.searchsorted(of_word, np.arange(len(number) + 1))
+    found_in = np.zeros((2, len(index)))
+    for ids, bad in zip(per_doc, toxic.tolist()):
+        ids = np.unique(ids)
+        if len(ids):
+            mine = np.concatenate([of_feature[start[i]:start[i + 1]] for i in ids.tolist()])
+            found_in[int(bad)][np.unique(mine)] += 1
+    del per_doc
+    strong = label_features(found_in[1], found_in[0], int(toxic.sum()), int((~toxic).sum()))
+    strong_word = np.bincount(of_word, strong[of_feature], len(number)) > 0
+    y = (strong_word[word] & toxic[doc]).astype(float)
 
     first = np.zeros(len(word), bool)
     first[np.cumsum(length) - length] = True
@@ -157,14 +162,17 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Field:
         e_word = np.bincount(of_word, at[:-4][of_feature], len(number)) + at[-4]
         e = e_word[word]
         p, left, right = marginals(field, e, length)
-        a, b = left[inner - 1], e[inner] + right[inner]
-        joint = np.stack([np.zeros(len(a)), field.to_toxic + b, field.to_clean + a,
-                          field.stay_toxic + a + b])
-        joint = np.exp(joint - joint.max(axis=0))
-        joint /= joint.sum(axis=0)
+        pairs = np.zeros(4)
+        for k in range(0, len(inner), 1 << 17):
+            part = inner[k:k + (1 << 17)]
+            a, b = left[part - 1], e[part] + right[part]
+            joint = np.stack([np.zeros(len(a)), field.to_toxic + b, field.to_clean + a,
+                              field.stay_toxic + a + b])
+            joint = np.exp(joint - joint.max(axis=0))
+            pairs += (joint / joint.sum(axis=0)).sum(axis=1)
         expected = np.concatenate([
             np.bincount(of_feature, np.bincount(word, p, len(number))[of_word], len(index)),
-            [p.sum(), *joint[1:].sum(axis=1)]])
+            [p.sum(), *pairs[1:]]])
         slope = target - expected - PULL * len(texts) * at / 10
         pace += slope ** 2
         at += RATE * 2 * slope / np.sqrt(pace)
@@ -173,7 +181,8 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Field:
                   float(at[-4]), float(at[-3]), float(at[-2]), float(at[-1]))
     e_word = np.bincount(of_word, at[:-4][of_feature], len(number)) + at[-4]
     best, mass = sums(marginals(field, e_word[word], length)[0], doc, len(texts))
-    field.rule = logistic(np.stack([best, np.log1p(mass)], 1), toxic.astype(float))
+    base, *slopes = logistic(np.stack([best, np.log1p(mass)], 1), toxic.astype(float))
+    field.rule = (base + float(np.log(odds)), *slopes)
     return field
 
 
@@ -201,6 +210,9 @@ def train(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: s
              .filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()
                      & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    known = stage(known, "known")
+    all_toxic, all_clean = known.agg(F.count_if(F.col("toxic") == 1),
+                                     F.count_if(F.col("toxic") != 1)).first()
     by_hash = (F.xxhash64("doc_id"), "doc_id")
     sample = (known.filter("toxic = 1").orderBy(*by_hash).limit(max_toxic)
               .unionByName(known.filter("toxic <> 1").orderBy(*by_hash).limit(max_clean)))
@@ -208,7 +220,10 @@ def train(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: s
     rows = (id_text(docs, id_col, text_col).filter(F.char_length("text") <= FIT_CHARS)
             .join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
             .orderBy("doc_id").collect())
-    return fit([r["text"].encode() for r in rows], np.array([r["toxic"] == 1 for r in rows], bool))
+    toxic = np.array([r["toxic"] == 1 for r in rows], bool)
+    mine = max(int(toxic.sum()), 1) / max(int((~toxic).sum()), 1)
+    return fit([r["text"].encode() for r in rows], toxic,
+               max(all_toxic, 1) / max(all_clean, 1) / mine)
 
 
 class Scorer:
