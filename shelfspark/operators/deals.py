@@ -59,8 +59,11 @@ def with_size_tier(df: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 
 
 def store_ranks(df: DataFrame) -> DataFrame:
-    """Stores from cheapest to dearest mean unit price, 1 first; ties by name."""
-    means = df.groupBy("site").agg(F.avg("unit_price").alias("avg_unit_price"))
+    """Stores from cheapest to dearest mean unit price, 1 first; ties by name.
+
+    Listings without a store rank nowhere and keep their rows.
+    """
+    means = df.where(F.col("site").isNotNull()).groupBy("site").agg(F.avg("unit_price").alias("avg_unit_price"))
     ordered = stage(means.select("site", F.struct("avg_unit_price", "site").alias("spot")))
     ranks = value_counts(ordered, "spot")
     # Positions run from 1 to the number of stores.
@@ -70,7 +73,7 @@ def store_ranks(df: DataFrame) -> DataFrame:
 
 
 def with_store_rank(df: DataFrame) -> DataFrame:
-    return df.join(store_ranks(df), "site")
+    return df.join(store_ranks(df), "site", "left")
 
 
 def deal_score() -> Column:
@@ -108,7 +111,8 @@ def analyze_deals(df: DataFrame, min_rows: int = MIN_SCORED,
         "value_score": F.try_divide(inverse - facts["low"], facts["high"] - facts["low"]) * 100,
         "pack_efficiency": pack_efficiency(),
     })
-    scored = scored.join(by_price, "price").join(by_unit_price, "unit_price").join(stores, "site")
+    scored = scored.join(by_price, "price").join(by_unit_price, "unit_price").join(
+        stores, "site", "left")
     return stage(scored.withColumn("deal_score", deal_score()).withColumn(
         "deal_tier", deal_tier(F.col("deal_score"))).select(
         *df.columns, "price_percentile", "unit_price_percentile", "value_score",

@@ -149,3 +149,13 @@ def test_views(spark):
     kept = listings.filter_listings(rows.withColumn("normalized_quantity", F.col("price")),
                                     ["B"], (0, 9), (0, 9))
     assert kept.count() == 1
+
+
+def test_listings_without_a_store_stay_and_rank_nowhere(spark):
+    rows = spark.createDataFrame(
+        [(s, float(u)) for s, u in (("a", 1), ("a", 3), ("b", 9), (None, 5), (None, 0))],
+        "site string, unit_price double")
+    got = deals.with_store_rank(rows).collect()
+    assert len(got) == 5
+    assert {(r["site"], r["store_rank"]) for r in got} == {("a", 1), ("b", 2), (None, None)}
+    assert max(r["store_rank_normalized"] or 0 for r in got) > 0.99
