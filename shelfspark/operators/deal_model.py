@@ -147,6 +147,7 @@ def top_deals(df: DataFrame, n: int = 20, ties: tuple[str, ...] = ("title", "sit
 
 # ------------------------------------------------------- price outliers
 
+COPY_RUN = 10_000
 NODE = "tree int, node int, feature int, cut double, size int"
 
 
@@ -182,13 +183,21 @@ def isolation_trees(df: DataFrame, features: list[str], trees: int = TREES,
                     seed: int = 42) -> DataFrame:
     """Grow the trees, each in its own group on a sample of at most 256 rows.
 
-    Sampling belongs to the method. A pool of fixed size is taken by a seeded
-    number per row, so that copies are drawn in proportion; each tree then draws
-    its rows from the pool, and no group exceeds 256 rows.
+    Sampling belongs to the method. Equal points are counted, and each copy gets a
+    seeded hash of the point and its number, so that copies are drawn in proportion
+    and the draw does not depend on partitioning. A pool of fixed size has the
+    smallest hashes; each tree draws its rows from it, and no group exceeds 256 rows.
     """
     points = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
                          for c in features])
-    tagged = stage(points, "points").withColumn("_h", F.rand(seed))
+    counts = points.groupBy(*features).agg(F.count("*").alias("_n"))
+    # Copies of a hot point are numbered by many tasks, a run each.
+    runs = counts.withColumn("_run", F.explode(F.sequence(
+        F.lit(0), F.floor((F.col("_n") - 1) / F.lit(COPY_RUN))))).repartition("_run", *features)
+    first = F.col("_run") * COPY_RUN
+    tagged = runs.withColumn("_copy", F.explode(F.sequence(
+        first, F.least(first + COPY_RUN, F.col("_n")) - 1))).select(
+        *features, F.xxhash64(F.lit(seed), *features, "_copy").alias("_h"))
     pool = tagged.orderBy("_h", *features).limit(trees * TREE_ROWS)
     pool = stage(pool, "pool")
     draws = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.similarity import lcs, normalize_name, sorted_tokens
 from shelfspark.operators.listings import valid_price
+from shelfspark.operators.stats import value_counts
 from shelfspark.session import cut_lineage, spread, stage
 
 THRESHOLD, BEST = 85, 10
@@ -36,6 +37,16 @@ def distinct_names(df: DataFrame, order: str = "seq") -> DataFrame:
     return df.groupBy("normalized_name").agg(F.min(order).alias("ord"))
 
 
+def number_names(names: DataFrame) -> DataFrame:
+    """Names in order of ``ord``, then of the name, each with a number of its own.
+
+    Needed where several listings may share one value of the order column.
+    """
+    first = stage(names.select(F.struct("ord", "normalized_name").alias("spot")), "names-in-order")
+    return value_counts(first, "spot").select(
+        F.col("spot.normalized_name").alias("normalized_name"), F.col("n_below").alias("ord"))
+
+
 def _tokens(text: str) -> list[tuple[str, int]]:
     """Characters with their occurrence number, so that a bag becomes a set."""
     seen: Counter = Counter()
@@ -257,6 +268,7 @@ def qualify_groups(df: DataFrame, groups: DataFrame, order: str = "seq") -> Data
 def match_products(df: DataFrame, threshold: float = THRESHOLD, k: int = BEST,
                    order: str = "seq") -> DataFrame:
     """Listings with a valid price, each with its normalised name and group."""
-    priced = stage(valid_price(with_normalized_name(df)), "priced-names")
-    groups = group_names(distinct_names(priced, order), threshold, k)
-    return qualify_groups(priced, groups, order)
+    priced = stage(valid_price(with_normalized_name(df)).withColumn(
+        "_listing", F.monotonically_increasing_id()), "priced-names")
+    groups = group_names(number_names(distinct_names(priced, order)), threshold, k)
+    return qualify_groups(priced, groups, "_listing").drop("_listing")

@@ -106,6 +106,23 @@ def test_copies_do_not_take_over_the_sample(spark):
     assert trees.groupby("tree")["node"].count().min() > 50
 
 
+def test_outliers_do_not_depend_on_partitioning(spark):
+    rows = spark.createDataFrame(
+        [(i, float(100 + i * 37 % 91), float(10 + i % 5)) for i in range(900)],
+        "seq long, price double, price_per_unit double")
+    scores = [sorted(deal_model.price_outliers(rows.repartition(n), trees=5).select(
+        "seq", "outlier_score", "is_outlier").collect()) for n in (2, 7)]
+    assert scores[0] == scores[1]
+
+
+def test_copies_beyond_a_run_are_all_drawn_from(spark, monkeypatch):
+    monkeypatch.setattr(deal_model, "COPY_RUN", 7)
+    rows = spark.createDataFrame([(50.0, 5.0)] * 30 + [(1.0, 2.0)] * 5,
+                                 "price double, price_per_unit double")
+    trees = deal_model.isolation_trees(rows, ["price", "price_per_unit"], trees=2).toPandas()
+    assert trees[trees["node"] == 0]["size"].eq(35).all()
+
+
 def test_first_arrival_wins(spark):
     rows = spark.createDataFrame(
         [(1, "A", "c", "7", "Tea", "u1"), (2, "A", "c", "7", "Tea 2", "u2"),
