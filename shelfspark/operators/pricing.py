@@ -8,8 +8,9 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from shelfspark.functions.text import number
 from shelfspark.operators.stats import (
     RANGE_ROWS, one_row, quantiles, sorted_codes, value_counts,
 )
-from shelfspark.session import spread, stage
+from shelfspark.session import stage
 
 # Model inputs, and what stands in for a missing one when scoring.
 NUMERIC = ["size_value", "normalized_quantity", "pack_count", "total_volume", "avg_price",
@@ -32,6 +33,10 @@ QUALITY = [("Excellent", 0.8), ("Good", 0.6), ("Fair", 0.4)]
 LOWEST_QUALITY = "Needs Improvement"
 GAP_LIMIT = 5
 MISSING_LABEL = "nan"
+BLOCK_ROWS = 4_096  # rows of one local pass of the network
+FIXED_POINT = float(2 ** 44)  # weights are summed as integers, so that no order of summing shows
+ERROR_POINT = float(2 ** 20)
+SUMS = 16  # tasks of the last step of a sum; the driver gets so many rows
 
 
 def numeric_features(df: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame:
@@ -95,10 +100,14 @@ def split(df: DataFrame, key: str = "seq", share: int = 80) -> tuple[DataFrame,
     return df.where(train), df.where(~train)
 
 
-def standardised(features: Sequence[str]) -> list:
-    """Stages that centre and scale; fitted on training rows only."""
+def standardised(train: DataFrame, features: Sequence[str]) -> list:
+    """Stages that centre and scale by the population deviation of the training rows."""
+    n = train.count()
+    whole = [(n / (n - 1)) ** 0.5 if n > 1 else 1.0] * len(features)
     return [assemble(features, "raw_features"),
-            StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)]
+            StandardScaler(inputCol="raw_features", outputCol="sample_scaled", withMean=True),
+            ElementwiseProduct(inputCol="sample_scaled", outputCol="features",
+                               scalingVec=Vectors.dense(whole))]
 
 
 # ------------------------------------------------------------- learners
@@ -143,21 +152,20 @@ def _gradients(weights: list, x: np.ndarray, y: np.ndarray, penalty: float) -> l
     return grads
 
 
-def _local_epoch(weights: list, x: np.ndarray, y: np.ndarray, rate: float, penalty: float,
-                 batch: int, seed: int) -> list:
-    """One pass of Adam over the rows of a partition."""
-    weights = [w.copy() for w in weights]
-    first = [np.zeros_like(w) for w in weights]
-    second = [np.zeros_like(w) for w in weights]
+def _local_epoch(state: list, steps: int, x: np.ndarray, y: np.ndarray, rate: float,
+                 penalty: float, batch: int, seed: int) -> list:
+    """One pass of Adam over a block; ``state`` is weights, first and second moments in turn."""
+    k = len(state) // 3
+    weights, first, second = ([w.copy() for w in state[i * k:(i + 1) * k]] for i in range(3))
     order = np.random.default_rng(seed).permutation(len(y))
-    for step, at in enumerate(range(0, len(y), batch), start=1):
+    for step, at in enumerate(range(0, len(y), batch), start=steps + 1):
         rows = order[at:at + batch]
-        for k, g in enumerate(_gradients(weights, x[rows], y[rows], penalty)):
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.999 * second[k] + 0.001 * g * g
-            hat = first[k] / (1 - 0.9 ** step)
-            weights[k] -= rate * hat / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
-    return weights
+        for i, g in enumerate(_gradients(weights, x[rows], y[rows], penalty)):
+            first[i] = 0.9 * first[i] + 0.1 * g
+            second[i] = 0.999 * second[i] + 0.001 * g * g
+            hat = first[i] / (1 - 0.9 ** step)
+            weights[i] -= rate * hat / (np.sqrt(second[i] / (1 - 0.999 ** step)) + 1e-8)
+    return [*weights, *first, *second]
 
 
 class NeuralModel:
@@ -177,7 +185,7 @@ class NeuralModel:
 
         rows = self.scaler.transform(df)
         return rows.withColumn("predicted", predict(vector_to_array("features"))).drop(
-            "raw_features", "features")
+            "raw_features", "sample_scaled", "features")
 
     def save(self, spark, path: str) -> None:
         self.scaler.write().overwrite().save(f"{path}/scaler")
@@ -195,76 +203,108 @@ class NeuralModel:
         return NeuralModel(PipelineModel.load(f"{path}/scaler"), cells, float(mean), float(scale))
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows (spot, x, y, fit) as matrices of about BLOCK_ROWS rows, dealt and ordered by ``spot``.
+
+    A block holds the same rows in the same order however the table was partitioned.
+    """
+    n_blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+
+    def pack(at: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("spot")
+        return pd.DataFrame({"block": [at[0]], "fit": [at[1]], "n": [len(part)],
+                             "x": [np.stack(part["x"]).astype(float).tobytes()],
+                             "y": [part["y"].to_numpy(float).tobytes()]})
+
+    dealt = rows.withColumn("block", F.pmod("spot", F.lit(n_blocks)))
+    return dealt.groupBy("block", "fit").applyInPandas(
+        pack, "block long, fit boolean, n long, x binary, y binary")
+
+
+def _matrices(pdf: pd.DataFrame):
+    for block, fit, n, x, y in zip(pdf["block"], pdf["fit"], pdf["n"], pdf["x"], pdf["y"]):
+        yield int(block), fit, np.frombuffer(x).reshape(n, -1), np.frombuffer(y)
+
+
+def _summed(parts: DataFrame, n_parts: int) -> np.ndarray:
+    """Sum of the integer vectors of ``parts``, within SUMS tasks where there are more, then here."""
+    def add(batches):
+        whole = None
+        for pdf in batches:
+            for w in pdf["w"]:
+                whole = np.array(w) if whole is None else whole + w
+        if whole is not None:
+            yield pd.DataFrame({"w": [whole.tolist()]})
+
+    if n_parts > SUMS:
+        parts = parts.repartition(SUMS).mapInPandas(add, "w array<long>")
+    return np.sum([np.array(r["w"]) for r in parts.collect()], axis=0)
+
+
 def neural_regressor(train: DataFrame, features: Sequence[str], label: str = "price_numeric",
                      key: str = "seq", hidden: Sequence[int] = (128, 64, 32),
                      rate: float = 0.001, penalty: float = 0.001, batch: int = 32,
-                     rounds: int = 30, patience: int = 5, seed: int = 42) -> NeuralModel:
+                     rounds: int = 500, patience: int = 20, seed: int = 42) -> NeuralModel:
     """ReLU network trained in parallel.
 
-    In each round every partition runs one pass of mini-batch Adam from the
-    shared weights and the results are averaged by row count in one aggregate
-    per weight. A tenth of the rows, chosen by key, is held out; training stops
-    when its error has not improved for ``patience`` rounds.
+    The rows are dealt into blocks by a hash of key, label and features. In each round every block runs one pass of
+    mini-batch Adam from the shared weights and moments, and the results are averaged by row count;
+    up to one block this is the sequential method. A tenth of the rows, chosen by key, is held out;
+    training stops when its error has not improved for ``patience`` rounds. The model does not
+    depend on the partitioning of ``train``.
     """
-    scaler = Pipeline(stages=standardised(features)).fit(train)
+    scaler = Pipeline(stages=standardised(train, features)).fit(train)
     facts = train.agg(F.avg(label).alias("m"), F.stddev_pop(label).alias("s")).first()
     mean, scale = float(facts["m"]), float(facts["s"] or 1.0) or 1.0
-    table = stage(scaler.transform(train).select(
-        vector_to_array("features").alias("x"), ((F.col(label) - mean) / scale).alias("y"),
+    # Hashed before scaling: sums of doubles differ in their last bits between partitionings.
+    spot = F.xxhash64(key, label, *[c for c in features if c not in (key, label)])
+    rows = stage(scaler.transform(train).select(
+        spot.alias("spot"), vector_to_array("features").alias("x"),
+        ((F.col(label) - mean) / scale).alias("y"),
         is_train(F.concat(F.lit("held-out-"), F.col(key).cast("string")), 90).alias("fit")), "net")
-    rows = spread(table)
+    blocks = stage(_blocks(rows), "blocks")
+    n_parts = blocks.rdd.getNumPartitions()
+    learned = blocks.where("fit").agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    total, steps_a_round = int(learned["n"] or 0), -(-int(learned["most"] or 0) // batch)
     rng = np.random.default_rng(seed)
     sizes = [len(features), *hidden, 1]
     weights: list = []
     for a, b in zip(sizes, sizes[1:]):
         limit = np.sqrt(6.0 / (a + b))
         weights += [rng.uniform(-limit, limit, (a, b)), rng.uniform(-limit, limit, b)]
-    shapes = [w.shape for w in weights]
+    state = weights + [np.zeros_like(w) for w in weights] * 2
+    cuts = np.cumsum([w.size for w in state])
     best, best_error, stale = weights, np.inf, 0
-    for turn in range(rounds):
-        current = weights
-
-        def one_pass(batches, current=current, turn=turn):
-            # Arrow batches keep memory flat: one batch of rows at a time.
-            local, seen = current, 0
+    for turn in range(rounds + 1 if total else 0):
+        def one_pass(batches, state=state, turn=turn):
+            """Sums over the blocks: new state, then held-out error and rows of the old one."""
+            whole, layers = np.zeros(cuts[-1] + 2, np.int64), state[:len(state) // 3]
             for pdf in batches:
-                if len(pdf):
-                    local = _local_epoch(local, np.stack(pdf["x"]), pdf["y"].to_numpy(float),
-                                         rate, penalty, batch, seed + turn)
-                    seen += len(pdf)
-            if seen:
-                flat = np.concatenate([w.ravel() for w in local])
-                yield pd.DataFrame({"n": [seen], "w": [flat.tolist()]})
-
-        passes = rows.where("fit").select("x", "y").mapInPandas(one_pass, "n long, w array<double>")
-        cells = passes.select("n", F.posexplode("w").alias("pos", "v")).groupBy("pos").agg(
-            (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"))
-        # The driver holds the model only: one number per weight.
-        flat = cells.orderBy("pos").toPandas()["v"].to_numpy()
-        parts = np.split(flat, np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
-        weights = [p.reshape(s) for p, s in zip(parts, shapes)]
-        net = NeuralModel(scaler, weights, 0.0, 1.0)
-        error = _held_out_error(rows.where("not fit"), net)
-        if error < best_error - 1e-6:
-            best, best_error, stale = weights, error, 0
-        else:
-            stale += 1
-            if stale >= patience:
-                break
+                for block, fit, x, y in _matrices(pdf):
+                    if not fit:
+                        error = float(((_forward(layers, x)[-1][:, 0] - y) ** 2).sum())
+                        whole[-2:] += [round(error * ERROR_POINT), len(y)]
+                    elif turn < rounds:
+                        local = _local_epoch(state, turn * steps_a_round, x, y, rate, penalty,
+                                             batch, [seed, turn, block])
+                        flat = np.concatenate([w.ravel() for w in local]) * (len(y) / total)
+                        whole[:-2] += np.rint(flat * FIXED_POINT).astype(np.int64)
+            yield pd.DataFrame({"w": [whole.tolist()]})
+
+        # The driver holds the model only: one number per weight and moment.
+        sums = _summed(blocks.mapInPandas(one_pass, "w array<long>"), n_parts)
+        if turn:
+            error = sums[-2] / ERROR_POINT / sums[-1] if sums[-1] else np.inf
+            if error < best_error - 1e-6:
+                best, best_error, stale = state[:len(weights)], error, 0
+            else:
+                stale += 1
+                if stale >= patience:
+                    break
+        state = [p.reshape(w.shape) for p, w in zip(np.split(sums[:-2] / FIXED_POINT, cuts), state)]
     return NeuralModel(scaler, best, mean, scale)
 
 
-def _held_out_error(rows: DataFrame, net: NeuralModel) -> float:
-    weights = net.weights
-
-    @F.pandas_udf("double")
-    def squared(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series((_forward(weights, np.stack(x))[-1][:, 0] - y.to_numpy(float)) ** 2)
-
-    error = rows.agg(F.avg(squared("x", "y")).alias("e")).first()["e"]
-    return float("inf") if error is None else float(error)
-
-
 def group_mean_predictor(train: DataFrame, df: DataFrame, key: str,
                          label: str = "price_numeric") -> DataFrame:
     """Mean training price of the key; the overall mean for unseen keys."""

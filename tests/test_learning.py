@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from shelfspark.operators import pricing, recommend
@@ -152,3 +153,20 @@ def test_learners_beat_the_mean(spark, tmp_path):
     for name in ("forest", "boosted", "net"):
         assert got[name]["r2"] > got["mean"]["r2"]
     assert sum(r["is_winner"] for r in got.values()) == 1
+
+
+def test_network_does_not_depend_on_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(pricing, "BLOCK_ROWS", 50)
+    rows = table(spark)
+    nets = [pricing.neural_regressor(rows.repartition(n), ["x"], hidden=(4,), rounds=3, batch=8)
+            for n in (2, 7)]
+    for a, b in zip(nets[0].weights, nets[1].weights):
+        assert abs(a - b).max() < 1e-6
+
+
+def test_scaling_is_by_the_population_deviation(spark):
+    rows = spark.createDataFrame([(1.0,), (3.0,), (8.0,)], "x double")
+    model = Pipeline(stages=pricing.standardised(rows, ["x"])).fit(rows)
+    got = sorted(r["features"][0] for r in model.transform(rows).collect())
+    spread = (26 / 3) ** 0.5
+    assert got == pytest.approx([(v - 4) / spread for v in (1, 3, 8)])
