@@ -328,7 +328,7 @@ def p04(spark, folder):
 
 _SCALED = ", ".join(
     f"round(COALESCE(({c} - (SELECT avg({c}) FROM model_table WHERE is_train)) / NULLIF((SELECT "
-    f"stddev_samp({c}) FROM model_table WHERE is_train), 0), 0) + {NUDGE}, 4) AS {c}" for c in _INPUTS)
+    f"stddev_pop({c}) FROM model_table WHERE is_train), 0), 0) + {NUDGE}, 4) AS {c}" for c in _INPUTS)
 
 
 @query("p06_standardise", sql(
@@ -336,7 +336,7 @@ _SCALED = ", ".join(
     "model_table"))
 def p06(spark, folder):
     train, test, inputs = model_table(spark, folder)
-    scaler = Pipeline(stages=pricing.standardised(inputs)).fit(train)
+    scaler = Pipeline(stages=pricing.standardised(train, inputs)).fit(train)
     return _unpacked(scaler.transform(test))
 
 
@@ -357,7 +357,7 @@ def p08(spark, folder):
 @query("p09_neural_regressor")
 def p09(spark, folder):
     train, test, inputs = model_table(spark, folder)
-    model = pricing.neural_regressor(train, inputs, rounds=5)
+    model = pricing.neural_regressor(train, inputs)
     return pricing.regression_metrics(model.transform(test))
 
 

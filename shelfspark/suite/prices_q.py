@@ -224,7 +224,7 @@ def d13(spark, folder):
 
 @query("d14_predict_deal_score")
 def d14(spark, folder):
-    scored, _ = deals.predict_deal_score(deal_rows(spark, folder), trees=20)
+    scored, _ = deals.predict_deal_score(deal_rows(spark, folder))
     return scored.select("seq", "title", "deal_score", "ml_predicted_score")
 
 

@@ -10,8 +10,7 @@ import __spark_entry__ as driver
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
 QUERIES, CHECKS = driver.queries(), driver.oracle_sql()
-SLOW = {"p07_random_forest", "p08_boosted_trees", "p09_neural_regressor", "p12_feature_importance",
-        "d14_predict_deal_score"}
+SLOW = {"p07_random_forest", "p08_boosted_trees", "p12_feature_importance"}
 
 
 @pytest.fixture(scope="module")
