@@ -17,9 +17,15 @@ TEXT = r"\s*([^<]*?)\s*<"
 
 
 def tag_text(tag: str, marker: str = "") -> str:
-    """Pattern for the first text inside ``tag`` whose attributes hold ``marker``."""
-    inside = rf"[^>]*{marker}[^>]*" if marker else r"[^>]*"
-    return rf"(?s)<{tag}\b{inside}>(?:\s*<[^>]*>)*{TEXT}"
+    """Pattern for the first text inside ``tag`` whose attributes hold ``marker``.
+
+    Tags before the text may open and close, but not end the element itself.
+    """
+    attributes = rf"[^>]*{marker}[^>]*" if marker else r"[^>]*"
+    # The name of a pattern such as \w+ is not known, so that nothing may close before the text.
+    own = tag if tag.isalnum() else r"\w+"
+    empty = rf"<{own}\b[^>]*>\s*</{own}\s*>|" if tag.isalnum() else ""
+    return rf"(?s)<{tag}\b{attributes}>(?:\s*(?:{empty}<(?!/{own}\b)[^>]*>))*+{TEXT}"
 
 
 def tag_attr(tag: str, attribute: str, marker: str = "") -> str:
@@ -42,6 +48,7 @@ class SiteRules:
     card_id: list[str] = field(default_factory=list)
     quantity: list[str] = field(default_factory=list)
     id_rule: str | None = None
+    around: bool = False  # the link and the image may stand around the card
 
 
 _IMAGE = [tag_attr("img", "src"), tag_attr("img", "data-src"), tag_attr("img", "data-original")]
@@ -84,6 +91,7 @@ SITE_RULES = {
         image=_IMAGE,
         price=[tag_text("p", "CategoryGrid_product_price__Svf8T")],
         id_rule="trailing_number",
+        around=True,
     ),
     "Imtiaz": SiteRules(
         base="https://shop.imtiaz.com.pk",
@@ -127,17 +135,47 @@ def decode_entities(text: Column) -> Column:
     return text
 
 
+def _element(piece: Column) -> Column:
+    """``piece`` up to the end of the element it starts with; all of it if that never ends."""
+    own = F.regexp_extract(piece, r"^<(\w+)", 1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("html"))
+
+    def add(state: Column, part: Column) -> Column:
+        ends = F.startswith(part, F.concat(F.lit("</"), own))
+        opens = F.startswith(part, F.concat(F.lit("<"), own))
+        depth = F.when(ends, state["depth"] - 1).when(opens, state["depth"] + 1)
+        grown = F.struct(
+            F.when(ends & (state["depth"] == 1), -1).otherwise(
+                F.coalesce(depth, state["depth"])).alias("depth"),
+            F.when(ends & (state["depth"] == 1), state["html"]).otherwise(
+                F.concat(state["html"], part)).alias("html"))
+        return F.when(state["depth"] < 0, state).otherwise(grown)
+
+    return F.aggregate(F.split(piece, r"(?=</?(?:li|div)\b)"), start, add)["html"]
+
+
 def _cards(pages: DataFrame, rules: SiteRules) -> DataFrame:
-    """One row per card: the html from its opening tag to the next card's."""
+    """One row per card: its element, up to the next card if one starts inside."""
     marked = F.regexp_replace("html", f"({rules.card})", "\u0001$1")
-    pieces = F.slice(F.split(marked, "\u0001"), 2, 1_000_000_000)
-    return pages.select("*", F.posexplode(pieces).alias("card_no", "card"))
+    pieces = t.let(F.split(marked, "\u0001"), lambda x: F.arrays_zip(
+        F.slice(x, 2, 1_000_000_000).alias("piece"), F.slice(x, 1, F.size(x) - 1).alias("before")))
+    cards = pages.select("*", F.posexplode(pieces).alias("card_no", "cut"))
+    return cards.withColumns({
+        "before": F.col("cut")["before"], "piece": F.col("cut")["piece"],
+        "card": _element(F.col("cut")["piece"])})
 
 
 def _fields(rules: SiteRules, price_style: str) -> dict[str, Column]:
     card = F.col("card")
-    link = t.absolute_url(rules.base, decode_entities(t.first_of(card, rules.link)))
-    image = t.absolute_url(rules.base, decode_entities(t.first_of(card, rules.image)))
+    link, image = t.first_of(card, rules.link), t.first_of(card, rules.image)
+    if rules.around:
+        # A link still open where the card starts holds it; links behind the card count if they end.
+        holding = t.first_of(F.substring_index("before", "</a", -1), rules.link)
+        behind = t.first_of(F.col("piece"), [rf"{p}(?=[\s\S]*?</a)" for p in rules.link])
+        link = F.coalesce(holding, link, behind)
+        image = F.coalesce(image, t.first_of(F.col("piece"), rules.image))
+    link = t.absolute_url(rules.base, decode_entities(link))
+    image = t.absolute_url(rules.base, decode_entities(image))
     if rules.price_parts:
         whole, cents = (t.first_group(card, p) for p in rules.price_parts)
         shown = t.parse_price_parts(whole, cents)

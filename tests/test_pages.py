@@ -44,6 +44,34 @@ def test_cards_of_each_store(spark):
     assert (food["title"], food["price"], food["product_id"]) == ("Nuggets 1 kg", 1750.5, "295592")
 
 
+def test_fields_stay_inside_their_element(spark):
+    pricing = "CategoryGrid_product_nameAndPricing_div__FwOEW"
+    price = "CategoryGrid_product_price__Svf8T"
+    naheed = """<ol><li class="product-item"><a class="product-item-link" href="/a/1">A</a>
+      <span class="price"></span><span class="qty">12 left</span></li>
+      <li class="product-item"><div><div class="price-box"><div></div><b><i></i></b>Rs. 40</div></div></li>
+      <li class="product-item"><ul><li>x</li></ul><span class="price">Rs. 7</span></li>
+      <li class="product-item"><a class="product-item-link" href="/d/4">D</a></li></ol>
+      <footer>Delivery Rs. 999</footer>"""
+    metro = f"""<div class="{pricing}"><p class="{price}"></p><a href="/x/5">5 in stock</a></div>
+      <div class="{pricing}"><p class="{price}">Rs. 8</p><a href="/x/6">x</a>"""
+    df = spark.createDataFrame([(1, "Naheed", naheed), (2, "Metro", metro)],
+                               "page_id int, site string, html string")
+    got = {(r["site"], r["card_no"]): r["price"] for r in pages.extract_cards(df).collect()}
+    assert got == {("Naheed", 0): None, ("Naheed", 1): 40.0, ("Naheed", 2): 7.0, ("Naheed", 3): None,
+                   ("Metro", 0): None, ("Metro", 1): 8.0}
+
+
+def test_links_around_cards(spark):
+    card = '<div class="CategoryGrid_product_nameAndPricing_div__FwOEW"><p>x</p></div>'
+    html = (f'<a href="/other/1">o</a><a href="/d/11">{card}</a><a href="/d/12">{card}</a>'
+            f'<i>{card}<a href="/d/13"><img src="/i.png"></a></i>{card}')
+    df = spark.createDataFrame([(1, "Metro", html)], "page_id int, site string, html string")
+    got = {r["card_no"]: (r["product_id"], r["image_url"]) for r in pages.extract_cards(df).collect()}
+    assert got == {0: ("11", None), 1: ("12", None),
+                   2: ("13", "https://www.metro-online.pk/i.png"), 3: (None, None)}
+
+
 def test_links(spark):
     html = ('<a href="/catalog/fresh-fruit"><img title="x"></a><a href="/catalog/a/b">Deep</a>'
             '<a href="/catalog/fresh-fruit">Again</a><a href="/about" title="About us">..</a>'
