@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,15 +45,51 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("escape", '"').csv(path).columns
 
 
-def read_listings(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """CSV with a header, every column text, blank cells null."""
-    names = list(columns or csv_header(spark, path))
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    rows = (
-        spark.read.option("header", True).option("escape", '"').option("multiLine", True)
-        .schema(schema).csv(path)
-    )
-    return blank_cells_to_null(rows)
+def matching_paths(spark: SparkSession, path: str) -> list[str]:
+    """Files and folders that a path or glob names; none if there are none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [found.getPath().toString() for found in system.globStatus(where) or []]
+
+
+def files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """Files below ``path`` grouped by their first line; empty and corrupt files are left out.
+
+    One pass over the text, of which one line a file leaves the tasks.
+    """
+    lines = spark.read.option("ignoreCorruptFiles", True).text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"))
+    first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    groups = first.groupBy("header").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    return [[unquote(p) for p in g["paths"]] for g in groups.orderBy("header").collect()]
+
+
+def read_listings(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
+                  multi_line: bool = True) -> DataFrame:
+    """CSV with a header, every column text, blank cells null.
+
+    Files of a folder are read by the names in their own headers; ``columns`` says that all files have
+    these columns in this order, which saves the pass over the headers. ``multi_line`` allows line
+    breaks inside cells and reads each file in one task.
+    """
+    reader = (spark.read.option("header", True).option("escape", '"')
+              .option("multiLine", multi_line).option("ignoreCorruptFiles", True))
+
+    def read(names: Sequence[str], paths: str | list[str]) -> DataFrame:
+        return reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in names])).csv(paths)
+
+    if columns:
+        return blank_cells_to_null(read(columns, path))
+    groups = files_by_header(spark, path)
+    if not groups:
+        raise MissingColumns(f"no header in {path}")
+    if len(groups) == 1:
+        return blank_cells_to_null(read(csv_header(spark, groups[0][0]), path))
+    tables = [read(csv_header(spark, files[0]), files) for files in groups]
+    return blank_cells_to_null(
+        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables))
 
 
 def require_columns(df: DataFrame, columns: Sequence[str] = REQUIRED) -> DataFrame:
@@ -64,12 +101,12 @@ def require_columns(df: DataFrame, columns: Sequence[str] = REQUIRED) -> DataFra
 
 def read_many(spark: SparkSession, paths: Sequence[str], exclude: str | None = None,
               required: Sequence[str] = REQUIRED) -> DataFrame:
-    """Union of store files by column name, with source_file.
+    """Union of store files, folders and globs by column name, with source_file.
 
-    Files that cannot be opened or lack a required column are skipped.
+    Files that cannot be opened, are corrupt or lack a required column are skipped.
     """
     tables = []
-    for path in paths:
+    for path in [found for given in paths for found in matching_paths(spark, given)]:
         name = path.rstrip("/").rsplit("/", 1)[-1]
         if exclude and exclude in name:
             continue

@@ -29,6 +29,19 @@ def test_read_many_skips_bad_files(spark, tmp_path):
         io.read_many(spark, [str(tmp_path / "c_features.csv")])
 
 
+def test_files_are_read_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("site,title,price\nA,Tea,10\n")
+    (tmp_path / "b.csv").write_text("title,site,size\nOil,B,1 l\n")
+    (tmp_path / "c.csv.gz").write_bytes(b"not packed")
+    (tmp_path / "d.csv").write_text("")
+    rows = io.read_listings(spark, str(tmp_path))
+    got = {(r["site"], r["title"], r["price"], r["size"]) for r in rows.collect()}
+    assert got == {("A", "Tea", "10", None), ("B", "Oil", None, "1 l")}
+    many = io.read_many(spark, [str(tmp_path / "*.csv*")], required=["site", "title"])
+    assert {(r["title"], r["source_file"]) for r in many.collect()} == {
+        ("Tea", "a b.csv"), ("Oil", "b.csv")}
+
+
 def test_one_failing_store_does_not_stop_the_rest(spark):
     good = spark.createDataFrame([("A", "Tea")], "site string, title string")
     rows, failed = union_loaded({"A": lambda: good, "B": lambda: spark.read.parquet("/absent/b")})
