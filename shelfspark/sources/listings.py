@@ -35,6 +35,11 @@ REQUIRED = ["title", "price", "site"]
 # Other names under which stores publish a column.
 ALIASES = {"title": ["name"], "subcategory": ["section"],
            "normalized_quantity": ["normalized_volume_ml"]}
+# How compressed files begin, by the end of their name, and what codecs say of bad ones.
+COMPRESSED = {"gz": b"\x1f\x8b", "bz2": b"BZh", "zst": b"\x28\xb5\x2f\xfd"}
+BAD_FORMAT = ["not a gzip file", "not in gzip format", "incorrect header check", "incorrect data check",
+              "stream crc", "stream size", "invalid", "unexpected end", "bad block header", "crc error",
+              "unknown frame descriptor", "corrupt"]
 
 
 class MissingColumns(ValueError):
@@ -52,12 +57,65 @@ def matching_paths(spark: SparkSession, path: str) -> list[str]:
     return [found.getPath().toString() for found in system.globStatus(where) or []]
 
 
-def files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
-    """Files below ``path`` grouped by their first line; empty and corrupt files are left out.
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    return [unquote(p) for p in spark.read.text(path).inputFiles()]
 
-    One pass over the text, of which one line a file leaves the tasks.
+
+def first_bytes(spark: SparkSession, path: str, n: int) -> bytes:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        got = [stream.read() for _ in range(n)]
+    finally:
+        stream.close()
+    return bytes(x for x in got if x >= 0)
+
+
+def mislabelled(spark: SparkSession, path: str) -> bool:
+    """Whether a file with a name of a compressed one does not begin as one; not so for empty files."""
+    begins = COMPRESSED.get(path.rsplit(".", 1)[-1])
+    got = first_bytes(spark, path, len(begins)) if begins else b""
+    return bool(got) and got != begins
+
+
+def bad_format(error: Exception) -> bool:
+    """Whether a read failed by what the file holds, and not by a passing error of the store."""
+    cause = getattr(error, "_origin", None) or getattr(error, "java_exception", None)
+    while cause is not None:
+        name, said = cause.getClass().getName(), str(cause.getMessage()).lower()
+        if name.endswith(("ZipException", "DataFormatException", "EOFException")) or (
+                name == "java.io.IOException" and any(w in said for w in BAD_FORMAT)):
+            return True
+        cause = cause.getCause()
+    return False
+
+
+def corrupt_files(spark: SparkSession, path: str) -> list[str]:
+    """Compressed files below ``path`` that cannot be unpacked to their end.
+
+    All are unpacked by one job, and one by one only if it fails. A read error of another kind is raised.
     """
-    lines = spark.read.option("ignoreCorruptFiles", True).text(path).select(
+    def sound(files: list[str]) -> bool:
+        try:
+            spark.read.option("ignoreCorruptFiles", False).text(files).agg(F.sum(F.length("value"))).collect()
+        except Exception as error:
+            if not bad_format(error):
+                raise
+            return False
+        return True
+
+    packed = [f for f in data_files(spark, path) if f.rsplit(".", 1)[-1] in COMPRESSED]
+    if not packed or sound(packed):
+        return []
+    return [f for f in packed if not sound([f])]
+
+
+def files_by_header(spark: SparkSession, path: str | list[str]) -> list[list[str]]:
+    """Files below ``path`` grouped by their first line; empty files are left out.
+
+    One pass over the text, of which one line a file leaves the tasks. A read error fails.
+    """
+    lines = spark.read.option("ignoreCorruptFiles", False).text(path).select(
         "value", F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("at"))
@@ -66,27 +124,39 @@ def files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
     return [[unquote(p) for p in g["paths"]] for g in groups.orderBy("header").collect()]
 
 
-def read_listings(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
+def read_listings(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None,
                   multi_line: bool = True) -> DataFrame:
     """CSV with a header, every column text, blank cells null.
 
     Files of a folder are read by the names in their own headers; ``columns`` says that all files have
     these columns in this order, which saves the pass over the headers. ``multi_line`` allows line
     breaks inside cells and reads each file in one task.
+
+    A read error fails, so that Spark tries the task again and no file is read in part. Without
+    ``columns``, a file that is named as compressed and does not begin as one is left out whole.
     """
-    reader = (spark.read.option("header", True).option("escape", '"')
-              .option("multiLine", multi_line).option("ignoreCorruptFiles", True))
+    reader = (spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+              .option("ignoreCorruptFiles", False))
 
     def read(names: Sequence[str], paths: str | list[str]) -> DataFrame:
         return reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in names])).csv(paths)
 
     if columns:
         return blank_cells_to_null(read(columns, path))
-    groups = files_by_header(spark, path)
+    try:
+        groups = files_by_header(spark, path)
+    except Exception as error:
+        if not bad_format(error):
+            raise
+        files = data_files(spark, path)
+        sound = [f for f in files if not mislabelled(spark, f)]
+        if len(sound) == len(files):
+            raise
+        groups = files_by_header(spark, sound) if sound else []
     if not groups:
         raise MissingColumns(f"no header in {path}")
     if len(groups) == 1:
-        return blank_cells_to_null(read(csv_header(spark, groups[0][0]), path))
+        return blank_cells_to_null(read(csv_header(spark, groups[0][0]), groups[0]))
     tables = [read(csv_header(spark, files[0]), files) for files in groups]
     return blank_cells_to_null(
         reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables))
@@ -99,26 +169,43 @@ def require_columns(df: DataFrame, columns: Sequence[str] = REQUIRED) -> DataFra
     return df
 
 
-def read_many(spark: SparkSession, paths: Sequence[str], exclude: str | None = None,
-              required: Sequence[str] = REQUIRED) -> DataFrame:
-    """Union of store files, folders and globs by column name, with source_file.
+def read_many_checked(spark: SparkSession, paths: Sequence[str], exclude: str | None = None,
+                      required: Sequence[str] = REQUIRED) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Union of store files, folders and globs by column name, with source_file; and what was left out.
 
-    Files that cannot be opened, are corrupt or lack a required column are skipped.
+    A compressed file that cannot be unpacked to its end is left out whole, as are paths that are not
+    there or lack a required column: (path, reason) each. Other read errors fail.
     """
-    tables = []
-    for path in [found for given in paths for found in matching_paths(spark, given)]:
-        name = path.rstrip("/").rsplit("/", 1)[-1]
-        if exclude and exclude in name:
-            continue
-        try:
-            table = harmonise(read_listings(spark, path))
-            require_columns(table, required)
-        except (AnalysisException, MissingColumns):
-            continue
-        tables.append(table.withColumn("source_file", F.lit(name)))
+    tables, left_out = [], []
+    for given in paths:
+        matching = matching_paths(spark, given)
+        if not matching:
+            left_out.append((given, "not found"))
+        for path in matching:
+            name = path.rstrip("/").rsplit("/", 1)[-1]
+            if exclude and exclude in name:
+                continue
+            try:
+                bad = corrupt_files(spark, path)
+                left_out += [(f, "corrupt") for f in bad]
+                files = [f for f in data_files(spark, path) if f not in bad] if bad else path
+                if not files:
+                    continue
+                table = harmonise(read_listings(spark, files))
+                require_columns(table, required)
+            except (AnalysisException, MissingColumns) as error:
+                left_out.append((path, str(error)))
+                continue
+            tables.append(table.withColumn("source_file", F.lit(name)))
     if not tables:
         raise MissingColumns("no readable listing file")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables), left_out
+
+
+def read_many(spark: SparkSession, paths: Sequence[str], exclude: str | None = None,
+              required: Sequence[str] = REQUIRED) -> DataFrame:
+    """The rows of ``read_many_checked``."""
+    return read_many_checked(spark, paths, exclude, required)[0]
 
 
 def harmonise(df: DataFrame, aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
