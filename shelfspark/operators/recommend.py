@@ -65,6 +65,12 @@ def distinct_texts(docs: DataFrame, doc: str = "seq", text: str = "text",
     return texts.join(lists, text)
 
 
+def text_classes(docs: DataFrame, doc: str = "seq", text: str = "text") -> DataFrame:
+    """(doc, class) of every document: the class is the ``tid`` of its text, on which pairs are given."""
+    ids = stage(distinct_texts(docs, doc, text).select(F.col(text), F.col("tid").alias("class")), "classes")
+    return docs.join(ids, docs[text].eqNullSafe(ids[text])).select(docs[doc], "class")
+
+
 def tfidf(texts: DataFrame, max_features: int | None = MAX_FEATURES,
           stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """Weights (tid, term, df, weight) of texts(tid, text, n_docs), length one per text.

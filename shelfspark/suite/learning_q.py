@@ -118,6 +118,23 @@ def r08(spark, folder):
     return recommend.brand_inventory(feature_rows(spark, folder))
 
 
+@query("r09_text_classes", sql("""
+SELECT seq, min(seq) OVER (PARTITION BY text) AS class FROM doc_text""", "doc_text"))
+def r09(spark, folder):
+    """The text class of every listing; r03 and r10 pair the classes."""
+    return recommend.text_classes(documents(spark, folder))
+
+
+@query("r10_all_cosine_pairs", sql("""
+SELECT a, b, similarity FROM doc_pairs
+WHERE a < b
+ AND a IN (SELECT min(seq) FROM doc_text GROUP BY text)
+ AND b IN (SELECT min(seq) FROM doc_text GROUP BY text)""", "doc_pairs", "doc_text"))
+def r10(spark, folder):
+    _, weights = _weights(spark, folder)
+    return recommend.cosine_pairs(weights)
+
+
 # --------------------------------------------------------------- prediction
 
 def unified_rows(spark, folder):
