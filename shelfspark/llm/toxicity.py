@@ -6,8 +6,10 @@ characters. Labels exist for documents only, so tokens of toxic documents are la
 whose document counts differ from those of clean documents by more than chance (a G test).
 
 The field is fitted by gradient steps on its exact likelihood, on a bounded sample: of the labelled
-documents outside the held-out fold with at most ``FIT_CHARS`` characters, the ``FIT_TOXIC`` toxic and
-``FIT_CLEAN`` clean ones with the smallest hash of their id. Every text is then scored whole: forward-
+documents outside the held-out fold that the table has, the ``FIT_TOXIC`` toxic and ``FIT_CLEAN`` clean ones
+with the smallest hash of their id. Where a document is toxic is not known, so texts are read whole; those of
+more than ``FIT_CHARS`` characters as far as ``LONG_CHARS`` for all long ones of a class together, in equal
+windows at places given by a hash. A class that labels have and the sample lacks is an error. Every text is then scored whole: forward-
 backward gives each token its marginal, and a logistic function of the largest marginal and of the
 sum of marginals gives the document's score. Null and empty texts have the score of no marginal.
 """
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from shelfspark.llm.common import SPACES, arrow_texts, documents, id_text, labels, query, stage
 
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 600, 1800, 8_000
+LONG_CHARS = 2_400_000
 FOLDS = 5
 STEPS, RATE, PULL = 40, 0.3, 1e-3  # gradient steps, their size, and the pull towards 0
 LEAST = 0.02  # smaller weights are left out
@@ -213,14 +216,25 @@ def train(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: s
     known = stage(known, "known")
     all_toxic, all_clean = known.agg(F.count_if(F.col("toxic") == 1),
                                      F.count_if(F.col("toxic") != 1)).first()
+    # one text an id, of those in both tables; its length is all that is written
+    texts = id_text(docs, id_col, text_col)
+    present = stage(texts.join(known, "doc_id").groupBy("doc_id", "toxic").agg(
+        F.max(F.char_length("text")).alias("chars")), "present")
     by_hash = (F.xxhash64("doc_id"), "doc_id")
-    sample = (known.filter("toxic = 1").orderBy(*by_hash).limit(max_toxic)
-              .unionByName(known.filter("toxic <> 1").orderBy(*by_hash).limit(max_clean)))
+    sample = stage(present.filter("toxic = 1").orderBy(*by_hash).limit(max_toxic)
+                   .unionByName(present.filter("toxic <> 1").orderBy(*by_hash).limit(max_clean)), "sample")
+    longs = {bool(r["bad"]): r["n"] for r in sample.filter(F.col("chars") > FIT_CHARS).groupBy(
+        (F.col("toxic") == 1).alias("bad")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    room = F.when(F.col("toxic") == 1, F.lit(max(FIT_CHARS, LONG_CHARS // longs.get(True, 1)))).otherwise(
+        F.lit(max(FIT_CHARS, LONG_CHARS // longs.get(False, 1))))
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.col("chars") - room, F.lit(0)) + 1).cast("int") + 1
     # at most max_toxic + max_clean ids
-    rows = (id_text(docs, id_col, text_col).filter(F.char_length("text") <= FIT_CHARS)
-            .join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    rows = (texts.join(F.broadcast(sample), "doc_id").filter(F.char_length("text") == F.col("chars"))
+            .groupBy("doc_id", "toxic").agg(F.min(F.substr(F.col("text"), start, room)).alias("text"))
             .orderBy("doc_id").collect())
     toxic = np.array([r["toxic"] == 1 for r in rows], bool)
+    if ((all_toxic and not toxic.any()) or (all_clean and toxic.all())) and not docs.isEmpty():
+        raise ValueError("the documents have none of the labelled ones of a class")
     mine = max(int(toxic.sum()), 1) / max(int((~toxic).sum()), 1)
     return fit([r["text"].encode() for r in rows], toxic,
                max(all_toxic, 1) / max(all_clean, 1) / mine)
