@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.common import bounded, query, shared_files, stage, total, work_path
 
-SHARD_BYTES = 16 << 20  # payload of a range
-FILE_BYTES = 64 << 20  # compressed size at which a file is closed
+FILE_BYTES = 8 << 20  # compressed size at which a file is closed
+SHARD_BYTES = 8 * FILE_BYTES  # payload of a range, several files as pages pack to about half
 SAMPLE = 64  # sampled rows a range, as expected
 LEVEL = 6
 VERSION = b"WARC/1.1\r\n"
