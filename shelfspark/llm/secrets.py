@@ -6,8 +6,9 @@ of ``ALPHABET`` the method adds those whose log-likelihood as a random string ex
 identifier by ``MARGIN``. Both models are of first order over ``ALPHABET``.
 
 They are trained from labelled strings: ordinary ones are the runs in the texts of ``FIT_DOCS`` labelled
-documents (smallest hash of the id) outside base matches; random ones are the base matches there, and
-digests of the ids in hexadecimal and base 64. Null texts count as empty. Offsets are code points, ends
+documents (smallest hash of the id) outside base matches; random ones are the base matches in all labelled
+documents, and four digests of each of those ids in hexadecimal and base 64. Of a run that base matches
+touch, what they leave of it is scored, piece by piece. Null texts count as empty. Offsets are code points, ends
 exclusive.
 """
 
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import documents, id_text, labels, query
+from shelfspark.llm.common import bounded, documents, id_text, labels, query
 
 # The base patterns and the least lengths of their matches.
 ASSIGN = (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?"""
@@ -101,8 +102,8 @@ def model(counted: dict[tuple[int, int], int]) -> list[list[float]]:
 
 def train(docs: DataFrame, marks: DataFrame, max_docs: int = FIT_DOCS) -> list[float]:
     """Log-likelihood ratio of each pair of characters, random over ordinary, row by row."""
-    ids = (marks.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))
+    known = marks.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
+    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     # at most max_docs ids
     texts = (id_text(docs).filter(F.char_length("text") <= FIT_CHARS)
              .join(F.broadcast(ids), "doc_id"))
@@ -113,7 +114,8 @@ def train(docs: DataFrame, marks: DataFrame, max_docs: int = FIT_DOCS) -> list[f
     made = F.array(F.base64(digest), F.translate(F.base64(F.unhex(F.sha1(seed))), "+/=", "-_"),
                    F.translate(F.base64(F.unhex(F.md5(seed))), "+/=", ""),
                    F.lower(F.hex(F.unhex(F.sha1(F.concat(seed, F.lit("-")))))))
-    random = texts.select(F.explode(F.concat(found, made)).alias("value"))
+    random = (id_text(docs).join(bounded(known), "doc_id").select(F.explode(found).alias("value"))
+              .unionByName(texts.select(F.explode(made).alias("value"))))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(
         F.col("text"), ASSIGN, " "), ACCESS, " "), HEX, " ")
     plain = texts.select(F.explode(F.regexp_extract_all(
@@ -122,26 +124,36 @@ def train(docs: DataFrame, marks: DataFrame, max_docs: int = FIT_DOCS) -> list[f
     return [x - y for r, g in zip(bad, good) for x, y in zip(r, g)]
 
 
-def all_spans(text: Column, table: list[float]) -> tuple[Column, Column]:
-    """(base, added): spans by pattern, and those the models add outside of them."""
-    base = base_spans(text)
-    weights = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
-    runs = F.filter(matches(text, RUNS % RUN, 3), lambda m: ratio(m["value"], weights) >= MARGIN)
-    return base, runs
+def pieces(text: Column, run: Column, base: Column) -> Column:
+    """What the base spans leave of a run, as spans."""
+    def piece(start: Column, end: Column) -> Column:
+        return F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(3).alias("kind"),
+                                F.substr(text, start + 1, end - start).alias("value")))
+    touching = F.array_sort(F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"])))
+    return F.aggregate(
+        touching, F.struct(run["start"].alias("at"), F.array().cast(SPAN).alias("out")),
+        lambda acc, b: F.struct(
+            F.greatest(acc["at"], b["end"]).alias("at"),
+            F.when(b["start"] > acc["at"], F.concat(acc["out"], piece(acc["at"], b["start"])))
+            .otherwise(acc["out"]).alias("out")),
+        lambda acc: F.when(acc["at"] < run["end"], F.concat(acc["out"], piece(acc["at"], run["end"])))
+        .otherwise(acc["out"]))
 
 
-def added(base: Column, runs: Column) -> Column:
-    return F.filter(runs, lambda m: ~F.exists(
-        base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+def added(text: Column, base: Column, table: list[float]) -> Column:
+    """Spans the models add outside of ``base``, which is to be a column."""
+    weights = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
+    rest = F.flatten(F.transform(matches(text, RUNS % RUN, 3), lambda m: pieces(text, m, base)))
+    return F.filter(rest, lambda m: ratio(m["value"], weights) >= MARGIN)
 
 
 def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
     """doc_id, base, spans: arrays of (start, end, kind, value) by start, then kind."""
-    base, runs = all_spans(F.col("text"), table)
-    return (id_text(docs, id_col, text_col).select("doc_id", base.alias("base"), runs.alias("runs"))
+    return (id_text(docs, id_col, text_col).select("doc_id", "text", base_spans(F.col("text")).alias("base"))
+            .select("doc_id", "base", added(F.col("text"), F.col("base"), table).alias("more"))
             .select("doc_id", F.array_sort("base").alias("base"),
-                    F.array_sort(F.concat("base", added(F.col("base"), F.col("runs")))).alias("spans")))
+                    F.array_sort(F.concat("base", "more")).alias("spans")))
 
 
 def ordered(spans: Column) -> Column:
@@ -160,8 +172,9 @@ def written(spans: Column) -> Column:
 def mask_secrets(docs: DataFrame, table: list[float]) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by a mark; n_chars follows the text."""
     text = F.coalesce(docs["text"], F.lit(""))
-    base, runs = all_spans(text, table)
-    spans = ordered(F.concat(base, added(base, runs)))
+    hit = text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX) | text.rlike(RUNS % RUN)
+    base = F.col("_base")
+    spans = ordered(F.concat(base, added(text, base, table)))
     walked = F.aggregate(
         spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, m: F.when(m["end"] <= acc["at"], acc).when(
@@ -170,8 +183,9 @@ def mask_secrets(docs: DataFrame, table: list[float]) -> DataFrame:
             acc["out"], F.substr(text, acc["at"] + 1, m["start"] - acc["at"]),
             F.lit(MASK)).alias("out"))),
         lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    hit = text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX) | text.rlike(RUNS % RUN)
-    out = docs.withColumn("text", F.when(hit, walked).otherwise(docs["text"]))
+    # the base spans as a column of their own, so that they are found once a text
+    out = (docs.withColumn("_base", F.when(hit, base_spans(text)))
+           .withColumn("text", F.when(base.isNotNull(), walked).otherwise(docs["text"])).drop("_base"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(
             F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType))
