@@ -72,6 +72,23 @@ def shared_files(uri: str):
     return fs.LocalFileSystem(), uri
 
 
+class Scratch:
+    """Tables of one operator in the shared folder, each removed once its last reader has been written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.paths[name] = work_path(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def per_worker(name: str, make: Callable):
     """An object that lives as long as the Python worker, for bounded caches that tasks share."""
     import sys
@@ -83,6 +100,6 @@ def per_worker(name: str, make: Callable):
     return getattr(box, name)
 
 
-__all__ = ["BROADCAST_IDS", "ORACLES", "QUERIES", "SPACES", "arrow_texts", "bounded", "documents",
+__all__ = ["BROADCAST_IDS", "ORACLES", "QUERIES", "SPACES", "Scratch", "arrow_texts", "bounded", "documents",
            "id_text", "labels", "per_worker",
            "query", "shared_files", "stage", "total", "work_path"]
