@@ -229,31 +229,13 @@ def recurring(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     keys = ["hash", "row", "pos"]
     found = scratch.keep(rows.select(keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
                          .mapInArrow(_runs, RUNS), name)
-    # two rows a task at most, of which those stay whose hash other rows have too
-    heads = (found.filter("edge").groupBy("hash").agg(
+    # two rows a task at most
+    edges = found.filter("edge").groupBy("hash").agg(
         F.sum("n").alias("total"), F.min(F.struct("row", "pos")).alias("head")).filter("total > 1")
-        .select("hash", "head.row", "head.pos").orderBy("hash").collect())
-    shipped = found.sparkSession.sparkContext.broadcast(
-        [np.array([r[c] for r in heads], np.int64) for c in ("hash", "row", "pos")])
-    sure = found.filter("hash IS NULL AND NOT edge").select("row", "pos", "to_row", "to_pos")
-    return sure.unionByName(found.filter("hash IS NOT NULL AND NOT edge").select("hash", "row", "pos").mapInArrow(
-        _with_heads(shipped), "row long, pos int, to_row long, to_pos int"))
-
-
-def _with_heads(shipped):
-    """Task function: the rows whose hash is among the shipped ones, with its first place."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rows, places = shipped.value
-        for batch in batches:
-            h = batch.column("hash").to_numpy()
-            at = np.searchsorted(hashes, h)
-            keep = np.flatnonzero(np.isin(h, hashes))
-            to = at[keep]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row").take(pa.array(keep)), batch.column("pos").take(pa.array(keep)),
-                 pa.array(rows[to]), pa.array(places[to].astype(np.int32))],
-                names=["row", "pos", "to_row", "to_pos"])
-    return run
+    return (found.filter("NOT edge").join(F.broadcast(edges.select("hash", "head")), "hash", "left")
+            .filter("hash IS NULL OR head IS NOT NULL")
+            .select("row", "pos", F.coalesce("head.row", "to_row").alias("to_row"),
+                    F.coalesce("head.pos", "to_pos").alias("to_pos")))
 
 
 def _windows(window: int, gram: int, bits: int):
