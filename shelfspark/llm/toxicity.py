@@ -218,8 +218,9 @@ def train(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: s
                                      F.count_if(F.col("toxic") != 1)).first()
     # one text an id, of those in both tables; its length is all that is written
     texts = id_text(docs, id_col, text_col)
-    present = stage(texts.join(known, "doc_id").groupBy("doc_id", "toxic").agg(
-        F.max(F.char_length("text")).alias("chars")), "present")
+    sizes = texts.select("doc_id", F.char_length("text").alias("chars"))
+    present = stage(sizes.join(known, "doc_id").groupBy("doc_id", "toxic").agg(
+        F.max("chars").alias("chars")), "present")
     by_hash = (F.xxhash64("doc_id"), "doc_id")
     sample = stage(present.filter("toxic = 1").orderBy(*by_hash).limit(max_toxic)
                    .unionByName(present.filter("toxic <> 1").orderBy(*by_hash).limit(max_clean)), "sample")
