@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import arrow_texts, bounded, documents, id_text, query, stage
+from shelfspark.llm.common import SPACES, arrow_texts, bounded, documents, id_text, query, stage
 from shelfspark.llm.graph import components
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -227,7 +227,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
              .withColumn("side", F.pmod(F.xxhash64("node"), "chunks"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
              .withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")))
-    blocks = stage(dealt.groupBy("component", "i", "j").applyInArrow(
+    # rows lie by component after the joins; each pair of chunks gets a task of its own
+    blocks = stage(dealt.repartition("component", "i", "j").groupBy("component", "i", "j").applyInArrow(
         _block(threshold), "node long, links long, peer long"), "blocks")
 
     linked = (single.unionByName(blocks.select("node", "links"))
@@ -252,13 +253,20 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each class, with all their columns."""
-    joined = jaccard_join(docs)
-    stay = stage(joined.filter("keeps").select("text_key"), "stay")
-    key = F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")))
+    """The rows of ``docs`` that stay, one of each class, with all their columns.
+
+    Rows without words are classes of their own and all stay. Of rows with words that are equal in id and
+    text, one stays, whichever its other columns.
+    """
+    stay = stage(jaccard_join(docs).filter("keeps").select("text_key"), "stay")
+    text = F.coalesce(docs["text"], F.lit(""))
+    key = F.xxhash64(docs["doc_id"].cast("long"), text)
     out = docs.join(stay, key == stay["text_key"], "left_semi")
-    repeated = joined.groupBy("text_key").count().filter("count > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    worded = F.translate(text, SPACES, "") != ""
+    repeated = docs.filter(worded).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    if repeated.isEmpty():
+        return out
+    return out.filter(worded).dropDuplicates(["doc_id", "text"]).unionByName(out.filter(~worded))
 
 
 @query("op4_jaccard_join")
