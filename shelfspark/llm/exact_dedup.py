@@ -24,6 +24,11 @@ def md5_bytes(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Of id and raw text; beside the content hash it tells the rows of a group apart."""
+    return F.xxhash64(doc_id, text)
+
+
 def _best(rows: DataFrame, *keys: str) -> DataFrame:
     """Per key: rows, and the one that stays. Complements turn smallest first into largest.
 
@@ -38,23 +43,24 @@ def _best(rows: DataFrame, *keys: str) -> DataFrame:
 def _decided(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """Each row with its group. A hot group is one row on the right; AQE splits the left."""
     return rows.join(groups, keys).select(
-        "doc_id", "points", "hash", "sha", F.bitwise_not("best.id").alias("keep_id"), "group_size",
+        "doc_id", "points", "hash", "sha", "key", F.bitwise_not("best.id").alias("keep_id"), "group_size",
         (F.col("row") == F.bitwise_not("best.row")).alias("kept"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 content_hash: Callable[[Column], Column] = md5_bytes) -> DataFrame:
-    """One row per row of ``docs``: doc_id, points, hash, sha (binary), keep_id, group_size, kept.
+    """One row per row of ``docs``: doc_id, points, hash, sha (binary), key, keep_id, group_size, kept.
 
     Facts of a few bytes per row are written once and grouped by hash. The texts themselves are
     aggregated by (hash, text), which compares whole texts and reduces copies before the shuffle; a
     hash that turns out to stand for several texts is grouped by the text instead.
     """
     texts = id_text(docs, id_col, text_col).select(
-        "doc_id", F.char_length("text").alias("points"), normalised(F.col("text")).alias("norm"))
+        "doc_id", F.char_length("text").alias("points"), normalised(F.col("text")).alias("norm"),
+        row_key(F.col("doc_id"), F.col("text")).alias("key"))
     hashed = texts.withColumn("hash", content_hash(F.col("norm")))
     facts = stage(hashed.select(
-        "doc_id", "points", "hash", F.unhex(F.sha2("norm", 256)).alias("sha"),
+        "doc_id", "points", "hash", "key", F.unhex(F.sha2("norm", 256)).alias("sha"),
         F.monotonically_increasing_id().alias("row")), "facts")
     collided = stage(
         hashed.groupBy("hash", "norm").agg(F.count(F.lit(1)).alias("rows"))
@@ -64,7 +70,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return _decided(facts, _best(facts, "hash"), ["hash"])
     sound = facts.join(collided, "hash", "left_anti")
     mixed = stage(hashed.join(collided, "hash").select(
-        "doc_id", "points", "hash", "norm", F.unhex(F.sha2("norm", 256)).alias("sha"),
+        "doc_id", "points", "hash", "norm", "key", F.unhex(F.sha2("norm", 256)).alias("sha"),
         F.monotonically_increasing_id().alias("row")), "mixed")
     return _decided(sound, _best(sound, "hash"), ["hash"]).unionByName(
         _decided(mixed, _best(mixed, "hash", "norm"), ["hash", "norm"]))
@@ -73,15 +79,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows of one id and one text go by the same decision; if the table has such repeats, one is kept.
+    Rows that are equal in id and text are one row here: one of them is kept, whichever its other columns.
     """
-    rows = exact_dedup(docs)
-    stay = stage(rows.filter("kept").select("doc_id", "hash", "points"), "stay")
-    id_, text = docs["doc_id"], F.coalesce(docs["text"], F.lit(""))
-    out = docs.join(stay, id_.eqNullSafe(stay["doc_id"]) & (
-        md5_bytes(normalised(text)) == stay["hash"]) & (F.char_length(text) == stay["points"]),
-        "left_semi")
-    repeated = rows.groupBy("doc_id", "hash", "points").count().filter("count > 1")
+    stay = stage(exact_dedup(docs).filter("kept").select("hash", "key"), "stay")
+    text = F.coalesce(docs["text"], F.lit(""))
+    key = row_key(docs["doc_id"].cast("long"), text)
+    out = docs.join(stay, (md5_bytes(normalised(text)) == stay["hash"]) & (key == stay["key"]), "left_semi")
+    repeated = docs.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
 

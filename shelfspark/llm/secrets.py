@@ -173,7 +173,10 @@ def mask_secrets(docs: DataFrame, table: list[float]) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by a mark; n_chars follows the text."""
     text = F.coalesce(docs["text"], F.lit(""))
     hit = text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX) | text.rlike(RUNS % RUN)
-    base = F.col("_base")
+    free = "_base"
+    while free in docs.columns:
+        free += "_"
+    base = F.col(free)
     spans = ordered(F.concat(base, added(text, base, table)))
     walked = F.aggregate(
         spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -184,8 +187,8 @@ def mask_secrets(docs: DataFrame, table: list[float]) -> DataFrame:
             F.lit(MASK)).alias("out"))),
         lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
     # the base spans as a column of their own, so that they are found once a text
-    out = (docs.withColumn("_base", F.when(hit, base_spans(text)))
-           .withColumn("text", F.when(base.isNotNull(), walked).otherwise(docs["text"])).drop("_base"))
+    out = (docs.withColumn(free, F.when(hit, base_spans(text)))
+           .withColumn("text", F.when(base.isNotNull(), walked).otherwise(docs["text"])).drop(free))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(
             F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType))

@@ -43,20 +43,21 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, row: int) -> str:
+def record_id(page_id: int | None, key: int, copy: int) -> str:
+    """Of the page, the hash of its id, address and content, and its number among wholly equal pages."""
     name = "" if page_id is None else str(page_id)
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{name}/{row}')}>"
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{name}/{key}/{copy}')}>"
 
 
-def record(page_id: int | None, copy: int, url: str, payload: bytes, refers_to: int | None,
-           revisit: bool) -> bytes:
+def record(page_id: int | None, key: int, copy: int, url: str, payload: bytes, refers_to: int | None,
+           refers_key: int | None, revisit: bool) -> bytes:
     """One WARC record; a revisit has the HTTP head of its payload and no body."""
     digest = digest32(payload)
     head = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
             f"Content-Length: {len(payload)}\r\n\r\n").encode()
     block = head if revisit else head + payload
     fields = [("WARC-Type", "revisit" if revisit else "response"),
-              ("WARC-Record-ID", record_id(page_id, copy)),
+              ("WARC-Record-ID", record_id(page_id, key, copy)),
               ("WARC-Date", DATE),
               ("WARC-Target-URI", url),
               ("Content-Type", "application/http; msgtype=response"),
@@ -65,7 +66,7 @@ def record(page_id: int | None, copy: int, url: str, payload: bytes, refers_to:
     if revisit:
         fields += [("WARC-Profile",
                     "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-                   ("WARC-Refers-To", record_id(refers_to, 0)),
+                   ("WARC-Refers-To", record_id(refers_to, refers_key, 0)),
                    ("X-Refers-To-Page", "" if refers_to is None else str(refers_to))]
     fields += [("X-Page-ID", "" if page_id is None else str(page_id)),
                ("Content-Length", str(len(block)))]
@@ -112,8 +113,9 @@ def _write(folder: str, file_bytes: int):
                         out = files.open_output_stream(f"{root}/{state['attempt']}", compression=None)
                     # a line break in an address would end its header
                     url = (row["url"] or "").replace("\r", "%0D").replace("\n", "%0A")
-                    member = gzip_member(record(row["page_id"], row["copy"], url,
-                                                row["payload"], row["refers_to"], row["revisit"]))
+                    member = gzip_member(record(
+                        row["page_id"], row["key"], row["copy"], url, row["payload"], row["refers_to"],
+                        row["refers_key"], row["revisit"]))
                     out.write(member)
                     state["bytes"] += len(member)
                     state["records"] += 1
@@ -123,8 +125,16 @@ def _write(folder: str, file_bytes: int):
     return run
 
 
+def sha1_of(files, path: str, size: int = 1 << 20) -> str:
+    state = hashlib.sha1()
+    with files.open_input_stream(path, compression=None) as stream:
+        while data := stream.read(size):
+            state.update(data)
+    return state.hexdigest()
+
+
 def _commit(folder: str):
-    """Task function: rename the files of a manifest; a file already in place stays."""
+    """Task function: rename the files of a manifest; one already in place stays if its digest agrees."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -136,7 +146,7 @@ def _commit(folder: str):
                 there = files.get_file_info([old, new])
                 if there[0].type == fs.FileType.File:
                     files.move(old, new)
-                elif there[1].size != row["bytes"]:
+                elif there[1].type != fs.FileType.File or sha1_of(files, new) != row["sha1"]:
                     raise FileNotFoundError(new)
             yield batch
     return run
@@ -177,8 +187,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, shard_bytes: i
     revisits = stage(
         narrow.join(equal, ["sha", "n_bytes"])
         .select("page_id", "key", "n_bytes", F.col("head.page_id").alias("refers_to"),
-                (F.col("key") == F.col("head.key")).alias("first"))
-        .groupBy("page_id", "key", "refers_to", "first").agg(F.count(F.lit(1)).alias("copies"))
+                F.col("head.key").alias("refers_key"), (F.col("key") == F.col("head.key")).alias("first"))
+        .groupBy("page_id", "key", "refers_to", "refers_key", "first").agg(F.count(F.lit(1)).alias("copies"))
         .filter("NOT first OR copies > 1"), "revisits")
     points = split_points(narrow, shard_bytes)
     # AQE keeps the shard's rows together; every shard is one partition of the exchange
@@ -190,7 +200,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, shard_bytes: i
         .join(bounded(revisits).alias("b"), F.col("a.page_id").eqNullSafe(F.col("b.page_id"))
               & (F.col("a.key") == F.col("b.key")), "left")
         .select("a.page_id", "a.url", "a.key", F.col("html").cast("binary").alias("payload"),
-                "refers_to", F.col("first"), F.coalesce("copies", F.lit(1)).alias("copies")))
+                "refers_to", "refers_key", F.col("first"), F.coalesce("copies", F.lit(1)).alias("copies")))
     sorted_ = (merged.withColumn("shard", shard.cast("int"))
                .repartition(len(points) + 1, "shard").sortWithinPartitions("shard", "page_id", "key"))
     files, root = shared_files(folder)
@@ -202,6 +212,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, shard_bytes: i
 
 def _number(write):
     """Of wholly equal rows, which stand next to each other, the first is the response."""
+    names = ["page_id", "key", "url", "payload", "refers_to", "refers_key", "shard", "copy", "revisit"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def numbered():
             last, copy = None, 0
@@ -218,9 +230,8 @@ def _number(write):
                         copies.append(copy)
                         revisit.append(first is False or first is True and copy > 0)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(c) for c in ("page_id", "url", "payload", "refers_to", "shard")]
-                        + [pa.array(copies, pa.int64()), pa.array(revisit, pa.bool_())],
-                        names=["page_id", "url", "payload", "refers_to", "shard", "copy", "revisit"])
+                        [batch.column(c) for c in names[:-2]]
+                        + [pa.array(copies, pa.int64()), pa.array(revisit, pa.bool_())], names=names)
         yield from write(numbered())
     return run
 
