@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.text import blank_to_null
 from shelfspark.operators.listings import top_per_group
+from shelfspark.operators.neighbours import DIGITS, dense, nearest
 from shelfspark.session import stage
 
 TEXT_COLUMNS = ["title", "brand", "category", "brand_category"]
@@ -28,9 +29,6 @@ STOP_WORDS = [
     "up", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whom",
     "why", "will", "with", "would", "you", "your",
 ]
-# Similarities at which rounds of the neighbour search stop, high to low.
-ROUNDS = (0.7, 0.3)
-DIGITS = 9
 CHUNK = 2_000
 
 
@@ -43,9 +41,9 @@ def product_text(columns: Sequence[str] = TEXT_COLUMNS) -> Column:
 def terms(text: Column | str, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Words of two or more characters outside the stop list, then their bigrams."""
     text = F.col(text) if isinstance(text, str) else text
-    stops = F.array(*[F.lit(w) for w in stop_words]) if stop_words else None
-    words = F.filter(F.split(text, r"\s+"), lambda w: (F.length(w) >= 2) if stops is None
-                     else (F.length(w) >= 2) & ~F.array_contains(stops, w))
+    stops = list(stop_words)
+    # many constants become one hash set, looked up once a word
+    words = F.filter(F.split(text, r"\s+"), lambda w: (F.length(w) >= 2) & ~w.isin(stops))
     following = F.transform(
         words, lambda w, i: F.concat_ws(" ", w, F.try_element_at(words, (i + 2).cast("int"))))
     return F.concat(words, F.slice(following, 1, F.greatest(F.size(words) - 1, F.lit(0))))
@@ -114,34 +112,20 @@ def _vectors(weights: DataFrame) -> DataFrame:
         F.col("v.weight").alias("weights"))
 
 
-def _dense(rows: pd.DataFrame, places: np.ndarray) -> np.ndarray:
-    """Rows of term hashes and weights as a matrix over the given sorted hashes."""
-    lengths = rows["terms"].map(len).to_numpy()
-    terms = np.concatenate(rows["terms"].to_list())
-    out = np.zeros((len(rows), len(places)))
-    at = np.searchsorted(places, terms)
-    np.add.at(out, (np.repeat(np.arange(len(rows)), lengths), at),
-              np.concatenate(rows["weights"].to_list()))
-    return out
-
-
-def _similar(queries: DataFrame, weights: DataFrame, vectors: DataFrame, min_sim: float,
-             once: bool, best: int | None = None) -> DataFrame:
-    """Pairs (a, b, similarity) with a among the queries.
+def _similar(weights: DataFrame, vectors: DataFrame, min_sim: float) -> DataFrame:
+    """Pairs (a, b, similarity), a < b.
 
     Texts meet at a shared rare term. The members of a term are cut into chunks
     of bounded size and each two chunks are multiplied as one small matrix
-    product; with ``best`` a chunk pair returns at most that many matches per
-    text, which is enough to find the overall best.
+    product.
     """
     rare = stage(_rare_terms(weights, min_sim).join(vectors, "tid"), "rare-terms")
-    asked = rare.join(queries.select("tid"), "tid", "left_semi")
 
     def cuts(side: DataFrame, name: str) -> DataFrame:
         return side.groupBy("term").agg(
             F.ceil(F.count("*") / CHUNK).cast("int").alias(name))
 
-    parts = stage(cuts(asked, "cuts_a").join(cuts(rare, "cuts_b"), "term"), "cuts")
+    parts = stage(cuts(rare, "cuts_a").withColumn("cuts_b", F.col("cuts_a")), "cuts")
 
     def chunks(side: DataFrame, own: str, own_cuts: str, other: str, other_cuts: str) -> DataFrame:
         return side.join(parts, "term").select(
@@ -149,7 +133,7 @@ def _similar(queries: DataFrame, weights: DataFrame, vectors: DataFrame, min_sim
             F.pmod(F.xxhash64("tid"), F.col(own_cuts)).cast("int").alias(own),
             F.explode(F.sequence(F.lit(0), F.col(other_cuts) - 1)).alias(other))
 
-    left = chunks(asked, "part_a", "cuts_a", "part_b", "cuts_b")
+    left = chunks(rare, "part_a", "cuts_a", "part_b", "cuts_b")
     right = chunks(rare, "part_b", "cuts_b", "part_a", "cuts_a")
     floor = max(min_sim, 10.0 ** -DIGITS)
 
@@ -158,18 +142,9 @@ def _similar(queries: DataFrame, weights: DataFrame, vectors: DataFrame, min_sim
             return pd.DataFrame({"a": [], "b": [], "similarity": []})
         a, b = a.sort_values("tid"), b.sort_values("tid")
         places = np.unique(np.concatenate([*a["terms"], *b["terms"]]))
-        sims = np.round(_dense(a, places) @ _dense(b, places).T, DIGITS)
+        sims = np.round(dense(a, places) @ dense(b, places).T, DIGITS)
         ids_a, ids_b = a["tid"].to_numpy(), b["tid"].to_numpy()
-        apart = ids_a[:, None] < ids_b if once else ids_a[:, None] != ids_b
-        sims = np.where(apart & (sims >= floor), sims, -1.0)
-        if best is not None and sims.shape[1] > best:
-            # A stable sort keeps the smaller id first among equals.
-            order = np.argsort(-sims, axis=1, kind="stable")[:, :best]
-            rows, cols = np.repeat(np.arange(len(ids_a)), best), order.ravel()
-        else:
-            rows, cols = np.nonzero(sims > 0)
-        kept = sims[rows, cols] > 0
-        rows, cols = rows[kept], cols[kept]
+        rows, cols = np.nonzero((ids_a[:, None] < ids_b) & (sims >= floor))
         return pd.DataFrame({"a": ids_a[rows], "b": ids_b[cols], "similarity": sims[rows, cols]})
 
     keys = ["term", "part_a", "part_b"]
@@ -181,33 +156,13 @@ def _similar(queries: DataFrame, weights: DataFrame, vectors: DataFrame, min_sim
 def cosine_pairs(weights: DataFrame, min_sim: float = 0.0) -> DataFrame:
     """Pairs (a, b, similarity), a < b, that share a term and reach ``min_sim``."""
     weights = stage(weights, "weights")
-    return _similar(weights.select("tid").distinct(), weights, stage(_vectors(weights), "vectors"),
-                    min_sim, once=True)
+    return _similar(weights, stage(_vectors(weights), "vectors"), min_sim)
 
 
 def similar_texts(weights: DataFrame, n: int, queries: DataFrame | None = None) -> DataFrame:
-    """For each text at least its ``n`` nearest other texts, as far as any share a term.
-
-    Rounds go down in similarity. A text that has ``n`` neighbours at the
-    round's level is done, so weak and common terms are joined only for the
-    texts that still need them.
-    """
-    weights = stage(weights, "weights")
+    """For each text its ``n`` nearest other texts, as far as any share a term."""
     vectors = stage(_vectors(weights), "vectors")
-    todo = (queries if queries is not None else weights).select("tid").distinct()
-    done = None
-    for level in (*ROUNDS, 0.0):
-        found = _similar(todo, weights, vectors, level, once=False, best=n)
-        best = stage(top_per_group(found, ["a"], [F.desc("similarity"), "b"], n), "nearest")
-        if level > 0:
-            full = best.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") >= n).select(
-                F.col("a").alias("tid"))
-            todo = stage(todo.join(full, "tid", "left_anti"), "open-texts")
-            best = best.join(full.withColumnRenamed("tid", "a"), "a", "left_semi")
-        done = best if done is None else done.unionByName(best)
-        if level > 0 and todo.isEmpty():
-            break
-    return done
+    return nearest(vectors, (vectors if queries is None else queries).select("tid").distinct(), n)
 
 
 def similar_products(docs: DataFrame, n: int = 10, queries: DataFrame | None = None,

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-from shelfspark.operators import pricing, recommend
+from shelfspark.operators import neighbours, pricing, recommend
 
 
 def corpus(seed=2, n=70):
@@ -53,9 +53,10 @@ def test_weights(docs):
         assert r["weight"] == pytest.approx(want[r["tid"]][r["term"]])
 
 
-@pytest.mark.parametrize("chunk", [2_000, 7])
-def test_similar_products_equal_brute_force(docs, chunk, monkeypatch):
-    monkeypatch.setattr(recommend, "CHUNK", chunk)
+@pytest.mark.parametrize("block, load", [(256, 20_000), (7, 5), (1, 1)])
+def test_similar_products_equal_brute_force(docs, block, load, monkeypatch):
+    for name, value in {"BLOCK": block, "LOAD": load, "GROUP": 3, "SUMMARIES": 4}.items():
+        monkeypatch.setattr(neighbours, name, value)
     vectors = by_hand(corpus())
     want = {}
     for i, v in enumerate(vectors):
@@ -67,8 +68,9 @@ def test_similar_products_equal_brute_force(docs, chunk, monkeypatch):
     assert got == {i: m for i, m in want.items() if m}
 
 
-@pytest.mark.parametrize("level", [0.0, 0.4, 0.8])
-def test_cosine_pairs_equal_brute_force(docs, level):
+@pytest.mark.parametrize("level, chunk", [(0.0, 2_000), (0.4, 7), (0.8, 2_000)])
+def test_cosine_pairs_equal_brute_force(docs, level, chunk, monkeypatch):
+    monkeypatch.setattr(recommend, "CHUNK", chunk)
     vectors, firsts = by_hand(corpus()), {}
     for i, text in enumerate(corpus()):
         firsts.setdefault(text, i)
