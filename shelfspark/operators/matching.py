@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.similarity import lcs, normalize_name, sorted_tokens
+from shelfspark.operators.graph import components
 from shelfspark.operators.listings import valid_price
 from shelfspark.operators.stats import value_counts
 from shelfspark.session import cut_lineage, spread, stage
@@ -23,6 +24,7 @@ from shelfspark.session import cut_lineage, spread, stage
 THRESHOLD, BEST = 85, 10
 RANKED_TOKENS = 1_000
 HOT_KEY = 20_000
+PEELS, COMPONENT = 4, 1_000_000  # rounds before components are sought; edges that one task goes through
 CELLS, CLASSES_PER_WORD, WORDS = 6, 10, 4
 SIGNED = ("ord long, text string, len int, tokens array<long>, bag0 long, bag1 long, bag2 long, "
           "bag3 long, bag_rest int")
@@ -205,30 +207,63 @@ def top_k_similar(names: DataFrame, k: int = BEST, threshold: float = THRESHOLD)
         F.col("place") <= k)
 
 
-def elect_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _by_component(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(followers, solved nodes) of the components of at most ``most`` edges, each gone through once."""
+    placed = cut_lineage(edges.join(components(edges, "src", "dst").withColumnRenamed("node", "src"), "src"))
+    small = placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= most)
+    held = cut_lineage(placed.join(small.select("component"), "component", "left_semi"))
+
+    def claim(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["src", "dst"])
+        followed: set[int] = set()
+        for src, dst in zip(rows["src"], rows["dst"]):
+            # an edge comes after all edges into its source, as those come from earlier names
+            if src not in followed:
+                followed.add(dst)
+        return pd.DataFrame({"ord": sorted(followed)}, dtype="int64")
+
+    followers = cut_lineage(held.groupBy("component").applyInPandas(claim, "ord long"))
+    solved = held.select(F.explode(F.array("src", "dst")).alias("ord")).distinct()
+    return followers, cut_lineage(solved)
+
+
+def elect_leaders(nodes: DataFrame, edges: DataFrame, rounds: int = PEELS,
+                  most: int = COMPONENT) -> DataFrame:
     """(ord, leader) of every node, equal to claiming names in order of appearance.
 
     ``edges`` (src, dst) point from an earlier to a later name that the earlier
     one would claim. In each round the open names without open claimants lead,
     and the names they list follow; a follower belongs to its first leader.
+    That ends most graphs in few rounds. What is left after ``rounds`` (long
+    chains) is parted into components, found in a logarithmic number of rounds,
+    and each of at most ``most`` edges is gone through once in its order of
+    appearance; larger ones go on in rounds.
     """
     spark = nodes.sparkSession
     all_edges = cut_lineage(edges.select("src", "dst").distinct())
     open_nodes = cut_lineage(nodes.select("ord").distinct())
     open_edges, followers = all_edges, None
-    everyone = open_nodes
+    everyone, turn = open_nodes, 0
+
+    def both_open(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+        return cut_lineage(edges.join(nodes.select(F.col("ord").alias("src")), "src", "left_semi")
+                           .join(nodes.select(F.col("ord").alias("dst")), "dst", "left_semi"))
+
     while not open_edges.isEmpty():
-        claimed = open_edges.select(F.col("dst").alias("ord")).distinct()
-        leading = open_nodes.join(claimed, "ord", "left_anti")
-        following = cut_lineage(open_edges.join(
-            leading.select(F.col("ord").alias("src")), "src", "left_semi").select(
-            F.col("dst").alias("ord")).distinct())
+        turn += 1
+        if turn % (rounds + 1) == 0:
+            following, solved = _by_component(open_edges, most)
+            open_nodes = cut_lineage(open_nodes.join(solved, "ord", "left_anti"))
+        else:
+            claimed = open_edges.select(F.col("dst").alias("ord")).distinct()
+            leading = open_nodes.join(claimed, "ord", "left_anti")
+            following = cut_lineage(open_edges.join(
+                leading.select(F.col("ord").alias("src")), "src", "left_semi").select(
+                F.col("dst").alias("ord")).distinct())
+            open_nodes = cut_lineage(open_nodes.join(claimed, "ord", "left_semi").join(
+                following, "ord", "left_anti"))
         followers = following if followers is None else followers.unionByName(following)
-        open_nodes = cut_lineage(open_nodes.join(claimed, "ord", "left_semi").join(
-            following, "ord", "left_anti"))
-        open_edges = cut_lineage(
-            open_edges.join(open_nodes.select(F.col("ord").alias("src")), "src", "left_semi")
-            .join(open_nodes.select(F.col("ord").alias("dst")), "dst", "left_semi"))
+        open_edges = both_open(open_edges, open_nodes)
     if followers is None:
         followers = spark.createDataFrame([], everyone.schema)
     leaders = everyone.join(followers, "ord", "left_anti")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.functions import similarity as s
-from shelfspark.operators import cross_store, matching
+from shelfspark.operators import cross_store, graph, matching
 
 
 def plain_lcs(a, b):
@@ -88,22 +88,53 @@ def test_best_k_with_ties(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_leaders_equal_greedy(spark, seed):
-    rng = random.Random(seed)
-    n = 60
-    edges = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(90)})
-    leader = {}
+def greedy(n, edges):
+    leader, claims = {}, {}
+    for a, b in edges:
+        claims.setdefault(a, []).append(b)
     for i in range(n):
         if i in leader:
             continue
         leader[i] = i
-        for a, b in edges:
-            if a == i and b not in leader:
-                leader[b] = i
+        for b in claims.get(i, ()):
+            leader.setdefault(b, i)
+    return leader
+
+
+@pytest.mark.parametrize("rounds, most", [(99, 9), (0, 1_000), (1, 20), (1, 1_000)])
+def test_leaders_equal_greedy(spark, rounds, most):
+    rng = random.Random(rounds + most)
+    n = 60
+    edges = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(70)})
     nodes = spark.createDataFrame([(i,) for i in range(n)], "ord long")
+    got = matching.elect_leaders(nodes, spark.createDataFrame(edges, "src long, dst long"), rounds, most)
+    assert {r["ord"]: r["leader"] for r in got.collect()} == greedy(n, edges)
+
+
+def test_chain_of_names_ends_in_few_rounds(spark, monkeypatch):
+    n, writes = 1_000, []
+    order = random.Random(5).sample(range(n), n)  # a component in no order of appearance
+    edges = [(i, i + 1) for i in range(n - 1)] + [
+        (n + min(a, b), n + max(a, b)) for a, b in zip(order, order[1:])]
+    for module in (matching, graph):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, f=module.cut_lineage: writes.append(1) or f(df))
+    nodes = spark.createDataFrame([(i,) for i in range(2 * n)], "ord long")
     got = matching.elect_leaders(nodes, spark.createDataFrame(edges, "src long, dst long"))
-    assert {r["ord"]: r["leader"] for r in got.collect()} == leader
+    assert {r["ord"]: r["leader"] for r in got.collect()} == greedy(2 * n, sorted(edges))
+    assert len(writes) < 100  # rounds of peeling alone would take 500 times 4
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    edges = [tuple(rng.sample(range(200), 2)) for _ in range(120)] + [(300, i) for i in range(301, 340)] + [(5, 5)]
+    head = {i: i for e in edges for i in e if e[0] != e[1]}
+    for _ in head:
+        for a, b in edges:
+            if a != b:
+                head[a] = head[b] = min(head[a], head[b])
+    got = graph.components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()
+    assert {r["node"]: r["component"] for r in got} == head and len(got) == len(head)
+    assert graph.components(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
 
 
 def test_groups_of_listings(spark):
