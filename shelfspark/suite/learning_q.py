@@ -406,3 +406,15 @@ def e01(spark, folder):
         "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     kept = dedupe.dedupe_stream(feed, ["user_id", "event_type"], "ts", "3650 days")
     return dedupe.run_to_table(kept, "events").select("user_id", "event_type")
+
+
+@query("e02_dedupe_interval", """
+SELECT DISTINCT user_id, event_type, time_bucket(INTERVAL '6 hours', ts) AS interval_start FROM events""")
+def e02(spark, folder):
+    """One row of each key in each six hours; what is two days behind the feed has left the state."""
+    schema = tables.table(spark, folder, "events").schema
+    feed = dedupe.read_feed(spark, folder, "events.parquet", schema).select(
+        "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    kept = dedupe.dedupe_interval(feed, ["user_id", "event_type"], "ts", "6 hours", "2 days")
+    return dedupe.run_to_table(kept, "intervals").select(
+        "user_id", "event_type", F.col("interval.start").cast("timestamp_ntz").alias("interval_start"))

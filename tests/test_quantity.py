@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from shelfspark.functions import quantity as q
@@ -34,6 +36,19 @@ def test_brand(cell, title, search, catalogue):
     assert cell(q.brand("x", q.CATALOGUE_BRANDS), x=title) == catalogue
 
 
+@pytest.mark.parametrize("known", [
+    ["cola", "coca-cola", "diet coca"], ["coca-cola", "cola"], ["a+b", "b c", "b", "a.c", "c d e", "d"],
+    ["tea", "tea time", "time out"], q.BRANDS])
+def test_brands_that_overlap(spark, known):
+    titles = ["Diet Coca-Cola", "coca-cola", "x a+bc", "a+b c d e", "abc", "tea time out", "TIME out", "cola cola",
+              *[f"big {b.upper()} pack" for b in known]]
+    rows = spark.createDataFrame([(t,) for t in titles], "x string").select("x", q.brand("x", known).alias("b"))
+    for title, got in rows.collect():
+        hit = [b for b in known if re.search(rf"\b{re.escape(b)}\b", title.lower())]
+        if hit or title.isalnum():
+            assert got == (hit[0] if hit else title.split()[0]).title(), title
+
+
 def test_looser_rules(cell):
     assert cell(q.deal_quantity("x"), x="17 large") == 17000.0
     assert cell(q.deal_quantity("x"), x="Tea 250g") == 250.0
