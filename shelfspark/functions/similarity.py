@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType
 
-from shelfspark.functions.text import col, match_all_tokens, squash_title
+from shelfspark.functions.text import col, let, match_all_tokens, squash_title
 
 # Words left out of a product name before matching.
 FILLER_WORDS = ["fresh", "pure", "best", "quality", "original", "new", "premium", "special",
@@ -102,14 +102,84 @@ def token_sort_ratio(a: Column | str, b: Column | str) -> Column:
     return F.when(total == 0, 100.0).otherwise(lcs(a, b) * F.lit(200.0) / total)
 
 
+#: White space as ``str.split`` has it.
+BREAKS = "(?U)[\\s\\x1c-\\x1f]+"
+
+
+def _joined_length(words: Column) -> Column:
+    """Length of the words joined by one space."""
+    total = F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w))
+    return total + F.greatest(F.size(words) - 1, F.lit(0))
+
+
+def may_reach_token_set(title: Column, query: str, threshold: float) -> Column:
+    """False only where ``token_set_ratio`` with the query is surely below the threshold.
+
+    The branches over shared words are exact. The distance of the words that only one side has is at
+    least what their bags of characters differ by.
+    """
+    known = F.array(*[F.lit(w) for w in sorted(set(query.split()))])
+    words = F.array_distinct(F.filter(F.split(title, BREAKS), lambda w: w != ""))
+    parts = F.struct(F.size(words).alias("n"), F.array_intersect(words, known).alias("both"),
+                     F.array_except(words, known).alias("a"), F.array_except(known, words).alias("b"))
+
+    def bound(p: Column) -> Column:
+        base, rest_a, rest_b = (_joined_length(p[c]) for c in ("both", "a", "b"))
+        gap = (base > 0).cast("int")
+        total = 2 * (base + gap) + rest_a + rest_b
+        text_a, text_b = F.array_join(p["a"], " "), F.array_join(p["b"], " ")
+        common = F.lit(0)
+        for ch in sorted(set(query)):
+            common = common + F.least(*[F.length(t) - F.length(F.replace(t, F.lit(ch), F.lit("")))
+                                        for t in (text_a, text_b)])
+        most = F.lit(threshold - 1e-9)
+        by_length = 100.0 - 100.0 * F.abs(rest_a - rest_b) / total
+        by_bag = 100.0 - 100.0 * (rest_a + rest_b - 2 * common) / total
+        one_side = [100.0 - 100.0 * (gap + r) / (2 * base + gap + r) for r in (rest_a, rest_b)]
+        subset = (F.size(p["both"]) > 0) & ((F.size(p["a"]) == 0) | (F.size(p["b"]) == 0))
+        return (p["n"] > 0) & (subset | ((base > 0) & (F.greatest(*one_side) >= most))
+                               | ((by_length >= most) & (by_bag >= most)))
+    return F.when(F.lit(bool(query.split())), F.coalesce(let(parts, bound), F.lit(False))).otherwise(False)
+
+
+def _pieces(word: str, n: int) -> list[str]:
+    cuts = [len(word) * i // n for i in range(n + 1)]
+    return [word[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def may_reach_partial(title: Column, word: str, threshold: float) -> Column:
+    """False only where ``partial_ratio`` of the word is surely below the threshold.
+
+    Inside the title a stretch is as long as the word, so both miss equally many characters; at its ends
+    stretches are shorter. Of one piece more than there may be differences, one stands there unchanged.
+    Titles no longer than the word swap roles and are not judged.
+    """
+    n, loose = len(word), (100.0 - threshold) / 100.0
+    inside, ends = 2 * int(n * loose + 1e-9) + 1, int(2 * n * loose + 1e-9) + 1
+    if max(inside, ends) > n:
+        return F.lit(True)
+    found = F.length(title) <= n
+    for piece in _pieces(word, inside):
+        found = found | F.contains(title, F.lit(piece))
+    edge = F.concat(F.substring(title, 1, n - 1), F.lit("\0"), F.substring(title, 1 - n, n - 1)) if n > 1 else None
+    for piece in _pieces(word, ends) if n > 1 else ():
+        found = found | F.contains(edge, F.lit(piece))
+    return found
+
+
 def match_fuzzy(title: Column | str, query: str, token_threshold: float = 90,
                 fuzzy_threshold: float = 80) -> Column:
     """All query words present, or alike as a whole, or one word nearly present.
 
-    Only titles that fail the word test reach the Python step.
+    A title that holds a query word as it stands is alike. Only titles that fail these tests and may still
+    be alike by a native bound reach the Python step.
     """
-    strict = match_all_tokens(title, query)
+    title = col(title)
     words = query.split()
+    sure = match_all_tokens(title, query)
+    if token_threshold <= 100:
+        for word in words:
+            sure = sure | F.coalesce(F.contains(title, F.lit(word)), F.lit(False))
 
     @F.pandas_udf(BooleanType())
     def alike(titles: pd.Series) -> pd.Series:
@@ -120,4 +190,13 @@ def match_fuzzy(title: Column | str, query: str, token_threshold: float = 90,
                 partial_ratio(w, text) >= token_threshold for w in words)
         return titles.map(one).astype(bool)
 
-    return strict | alike(F.when(~strict, col(title)))
+    may = may_match(title, query, token_threshold, fuzzy_threshold)
+    return sure | alike(F.when(~sure & may, title))
+
+
+def may_match(title: Column, query: str, token_threshold: float = 90, fuzzy_threshold: float = 80) -> Column:
+    """The titles that a fuzzy match cannot rule out without comparing them."""
+    may = may_reach_token_set(title, query, fuzzy_threshold)
+    for word in query.split():
+        may = may | may_reach_partial(title, word, token_threshold)
+    return may

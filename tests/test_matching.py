@@ -49,6 +49,28 @@ def test_fuzzy_query(spark):
     assert got == ["Pepsi 1L", "Pepsl 1L"]
 
 
+@pytest.mark.parametrize("query", ["Pepsi 1L", "Coca Cola Zero 500ml", "tea", "Sunsilk Shampoo", "a", "", "  "])
+def test_fuzzy_bounds_lose_nothing(spark, query):
+    rng = random.Random(len(query))
+    letters = "aelPpsi 1LCocTt" + query
+    titles = ["".join(rng.choices(letters, k=rng.randrange(25))) for _ in range(300)]
+    for _ in range(300):  # the query changed in a few places, between other words
+        text = list(query)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(text) + 1)
+            text[at:at + rng.randrange(2)] = rng.choice(["", "x", " ", "\u00a0"])
+        titles.append(rng.choice(["", "Big ", "New Pack of "]) + "".join(text) + rng.choice(["", " 6 x", " can"]))
+    titles += [None, query, " ".join(reversed(query.split()))]
+    rows = spark.createDataFrame([(t,) for t in titles], "title string").select(
+        "title", s.match_fuzzy("title", query).alias("got"), s.may_match(F.col("title"), query).alias("may"),
+        s.match_all_tokens("title", query).alias("strict")).collect()
+    for r in rows:
+        alike = r["title"] is not None and (s.token_set_ratio(r["title"], query) >= 80 or any(
+            s.partial_ratio(w, r["title"]) >= 90 for w in query.split()))
+        assert bool(r["got"]) == bool(r["strict"] or alike), r["title"]
+        assert r["may"] or not alike, r["title"]
+
+
 def random_names(n, seed):
     rng = random.Random(seed)
     words = ["red", "tea", "rice", "oil", "soap", "cola", "brand#12", "brand#21", "éclair", "x"]
