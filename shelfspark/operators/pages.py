@@ -1,38 +1,21 @@
 """Product cards, links and page state read from stored HTML pages.
 
-A page is cut at the opening tag of each card; every field of a card is then an
-ordered list of patterns of which the first non-empty hit wins.
+A page is read by a tokenizer into elements (``markup``); every field of a card is an ordered list of rules
+of which the first non-empty hit wins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions import text as t
-
-TEXT = r"\s*([^<]*?)\s*<"
-
-
-def tag_text(tag: str, marker: str = "") -> str:
-    """Pattern for the first text inside ``tag`` whose attributes hold ``marker``.
-
-    Tags before the text may open and close, but not end the element itself.
-    """
-    attributes = rf"[^>]*{marker}[^>]*" if marker else r"[^>]*"
-    # The name of a pattern such as \w+ is not known, so that nothing may close before the text.
-    own = tag if tag.isalnum() else r"\w+"
-    empty = rf"<{own}\b[^>]*>\s*</{own}\s*>|" if tag.isalnum() else ""
-    return rf"(?s)<{tag}\b{attributes}>(?:\s*(?:{empty}<(?!/{own}\b)[^>]*>))*+{TEXT}"
-
-
-def tag_attr(tag: str, attribute: str, marker: str = "") -> str:
-    """Pattern for an attribute of the first ``tag`` whose attributes hold ``marker``."""
-    ahead = rf"(?=[^>]*{marker})" if marker else ""
-    return rf"(?s)<{tag}\b{ahead}[^>]*?\s{attribute}=[\"']([^\"']*)[\"']"
-
+from shelfspark.operators import markup
+from shelfspark.operators.markup import Rule, tag_attr, tag_text
 
 @dataclass(frozen=True)
 class SiteRules:
@@ -40,13 +23,13 @@ class SiteRules:
 
     base: str
     card: str
-    title: list[str]
-    link: list[str]
-    image: list[str]
-    price: list[str] = field(default_factory=list)
-    price_parts: tuple[str, str] | None = None
-    card_id: list[str] = field(default_factory=list)
-    quantity: list[str] = field(default_factory=list)
+    title: list[Rule]
+    link: list[Rule]
+    image: list[Rule]
+    price: list[Rule] = field(default_factory=list)
+    price_parts: tuple[Rule, Rule] | None = None
+    card_id: list[Rule | str] = field(default_factory=list)  # a text is a pattern on the source of the card
+    quantity: list[Rule] = field(default_factory=list)
     id_rule: str | None = None
     around: bool = False  # the link and the image may stand around the card
 
@@ -135,81 +118,64 @@ def decode_entities(text: Column) -> Column:
     return text
 
 
-def _element(piece: Column) -> Column:
-    """``piece`` up to the end of the element it starts with; all of it if that never ends."""
-    own = F.regexp_extract(piece, r"^<(\w+)", 1)
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("html"))
-
-    def add(state: Column, part: Column) -> Column:
-        ends = F.startswith(part, F.concat(F.lit("</"), own))
-        opens = F.startswith(part, F.concat(F.lit("<"), own))
-        depth = F.when(ends, state["depth"] - 1).when(opens, state["depth"] + 1)
-        grown = F.struct(
-            F.when(ends & (state["depth"] == 1), -1).otherwise(
-                F.coalesce(depth, state["depth"])).alias("depth"),
-            F.when(ends & (state["depth"] == 1), state["html"]).otherwise(
-                F.concat(state["html"], part)).alias("html"))
-        return F.when(state["depth"] < 0, state).otherwise(grown)
-
-    return F.aggregate(F.split(piece, r"(?=</?(?:li|div)\b)"), start, add)["html"]
-
-
-def _cards(pages: DataFrame, rules: SiteRules) -> DataFrame:
-    """One row per card: its element, up to the next card if one starts inside."""
-    marked = F.regexp_replace("html", f"({rules.card})", "\u0001$1")
-    pieces = t.let(F.split(marked, "\u0001"), lambda x: F.arrays_zip(
-        F.slice(x, 2, 1_000_000_000).alias("piece"), F.slice(x, 1, F.size(x) - 1).alias("before")))
-    cards = pages.select("*", F.posexplode(pieces).alias("card_no", "cut"))
-    return cards.withColumns({
-        "before": F.col("cut")["before"], "piece": F.col("cut")["piece"],
-        "card": _element(F.col("cut")["piece"])})
-
-
-def _fields(rules: SiteRules, price_style: str) -> dict[str, Column]:
-    card = F.col("card")
-    link, image = t.first_of(card, rules.link), t.first_of(card, rules.image)
-    if rules.around:
-        # A link still open where the card starts holds it; links behind the card count if they end.
-        holding = t.first_of(F.substring_index("before", "</a", -1), rules.link)
-        behind = t.first_of(F.col("piece"), [rf"{p}(?=[\s\S]*?</a)" for p in rules.link])
-        link = F.coalesce(holding, link, behind)
-        image = F.coalesce(image, t.first_of(F.col("piece"), rules.image))
-    link = t.absolute_url(rules.base, decode_entities(link))
-    image = t.absolute_url(rules.base, decode_entities(image))
-    if rules.price_parts:
-        whole, cents = (t.first_group(card, p) for p in rules.price_parts)
-        shown = t.parse_price_parts(whole, cents)
-    else:
-        shown = F.coalesce(*[t.parse_price(t.first_group(card, p), price_style)
-                             for p in rules.price])
-    return {
-        "title": t.squash_title(decode_entities(t.first_of(card, rules.title))),
-        "price": F.coalesce(shown, t.price_from_markup(card, price_style)),
-        "image_url": image,
-        "product_url": link,
-        "card_id": t.first_of(card, rules.card_id) if rules.card_id
-        else F.lit(None).cast("string"),
-        "quantity": t.squash_title(t.first_of(card, rules.quantity)) if rules.quantity
-        else F.lit(None).cast("string"),
-    }
+RAW = ("card_no int, site string, card string, title string, link string, image string, card_id string, "
+       "quantity string, whole string, cents string, prices array<string>")
+
+
+def _raw_cards(site_rules: dict[str, SiteRules]):
+    """Task function: the raw fields of every card of the pages of known stores, one page at a time."""
+    kinds = {"card_no": pa.int32(), "prices": pa.list_(pa.string())}
+    names = [c.strip().split(" ")[0] for c in RAW.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sites, texts = batch.column("site").to_pylist(), batch.column("html").to_pylist()
+            for i, (site, html) in enumerate(zip(sites, texts)):
+                rules = site_rules.get(site)
+                found = markup.cards(html, rules) if rules and html else []
+                if not found:
+                    continue
+                rows = [f | {"card_no": n, "site": site} for n, f in enumerate(found)]
+                ids = batch.column("page_id").take(pa.array([i] * len(rows)))
+                yield pa.RecordBatch.from_arrays(
+                    [ids] + [pa.array([r[c] for r in rows], kinds.get(c, pa.string())) for c in names],
+                    names=["page_id", *names])
+    return run
 
 
 def extract_cards(pages: DataFrame, site_rules: dict[str, SiteRules] = SITE_RULES,
                   price_style: str = "plain") -> DataFrame:
-    """One row per product card of pages(page_id, site, html, ...)."""
-    tables = []
-    for site, rules in site_rules.items():
-        cards = _cards(pages.where(F.col("site") == site), rules)
-        rows = cards.withColumns(_fields(rules, price_style))
-        from_link = (t.product_id("product_url", rules.id_rule) if rules.id_rule
-                     else F.lit(None).cast("string"))
-        tables.append(rows.select(
-            "page_id", "card_no", "site", F.coalesce("card_id", from_link).alias("product_id"),
-            "title", "price", "quantity", "image_url", "product_url"))
-    cards = tables[0]
-    for other in tables[1:]:
-        cards = cards.unionByName(other)
-    return cards
+    """One row per product card of pages(page_id, site, html, ...).
+
+    Pages are read by a tokenizer; titles and prices are the whole text of their element. Pages of other
+    stores and pages without text give no rows.
+    """
+    kind = pages.schema["page_id"].dataType.simpleString()
+    raw = pages.select("page_id", "site", "html").where(F.col("site").isin(list(site_rules))).mapInArrow(
+        _raw_cards(site_rules), f"page_id {kind}, {RAW}")
+
+    def by_site(choose) -> Column:
+        value = F.lit(None).cast("string")
+        for site, rules in site_rules.items():
+            chosen = choose(rules)
+            if chosen is not None:
+                value = F.when(F.col("site") == site, chosen).otherwise(value)
+        return value
+
+    base = F.element_at(F.create_map(*[F.lit(x) for s, r in site_rules.items() for x in (s, r.base)]), F.col("site"))
+    parts = [s for s, r in site_rules.items() if r.price_parts]
+    listed = F.try_element_at(F.filter(F.transform(
+        "prices", lambda p: t.parse_price(p, price_style)), lambda p: p.isNotNull()), F.lit(1))
+    shown = F.when(F.col("site").isin(parts), t.parse_price_parts(F.col("whole"), F.col("cents"))).otherwise(listed) \
+        if parts else listed
+    rows = raw.withColumn("product_url", t.absolute_url(base, F.col("link")))
+    from_link = by_site(lambda r: t.product_id("product_url", r.id_rule) if r.id_rule else None)
+    return rows.select(
+        "page_id", "card_no", "site", F.coalesce("card_id", from_link).alias("product_id"),
+        t.squash_title(F.col("title")).alias("title"),
+        F.coalesce(shown, t.price_from_markup(F.col("card"), price_style)).alias("price"),
+        t.squash_title(F.col("quantity")).alias("quantity"),
+        t.absolute_url(base, F.col("image")).alias("image_url"), "product_url")
 
 
 ANCHOR = r"(?s)<a\b([^>]*)>(.*?)</a>"

@@ -62,6 +62,25 @@ def test_fields_stay_inside_their_element(spark):
                    ("Metro", 0): None, ("Metro", 1): 8.0}
 
 
+def test_whole_texts_and_nested_cards(spark):
+    naheed = """<!-- <li class="product-item">no</li> --><script>var a = '<li class="product-item">';</script>
+      <ul><li class="product-item"><a class="product-item-link" href="/a/1">Tea <b>Gold</b> 500g</a>
+        <span class="price"><i>Rs.</i> 1,<b>250</b></span>
+        <ul><li class="other">x</li><li class="product-item"><a class="product-item-link" title="Inner &amp; 2"
+          href="/b/2?x=1&amp;y=2"><img src="/i.png"/></a><span class="price">soon</span>
+          <span class="price">Rs. 9</span></li></ul>
+        <span class="price">Rs. 3</span></li>
+      <li class='x' data-y="a > b"><div class="product-item">Rs <a href="/c/3">C <br>&lt;1&gt; l</a></p></div></ul>"""
+    df = spark.createDataFrame([(1, "Naheed", naheed), (2, "Naheed", None), (3, "Nobody", naheed), (4, "Naheed", "")],
+                               "page_id int, site string, html string")
+    got = [(r["card_no"], r["title"], r["price"], r["product_url"], r["image_url"])
+           for r in pages.extract_cards(df).orderBy("page_id", "card_no").collect()]
+    shop = "https://www.naheed.pk"
+    assert got == [(0, "Tea Gold 500g", 1250.0, f"{shop}/a/1", None),
+                   (1, "Inner & 2", 9.0, f"{shop}/b/2?x=1&y=2", f"{shop}/i.png"),
+                   (2, "C <1> l", None, f"{shop}/c/3", None)]
+
+
 def test_links_around_cards(spark):
     card = '<div class="CategoryGrid_product_nameAndPricing_div__FwOEW"><p>x</p></div>'
     html = (f'<a href="/other/1">o</a><a href="/d/11">{card}</a><a href="/d/12">{card}</a>'
