@@ -116,7 +116,8 @@ def x01(spark, folder):
 
 
 _CARDS = """
-SELECT seq AS page_id, 0 AS card_no, store AS site, product_id, title, CAST(price AS DOUBLE) AS price,
+SELECT seq - seq % 18 + seq % 6 AS page_id,
+ CAST(row_number() OVER (PARTITION BY seq - seq % 18 + seq % 6 ORDER BY seq) - 1 AS INTEGER) AS card_no, store AS site, product_id, title, CAST(price AS DOUBLE) AS price,
  quantity, image_url, product_url
 FROM (SELECT seq, title, price, CASE seq % 6 WHEN 0 THEN 'Naheed' WHEN 1 THEN 'Alfatah'
    WHEN 2 THEN 'Metro' WHEN 3 THEN 'Imtiaz' WHEN 4 THEN 'Rainbow' ELSE 'Carrefour' END AS store,
@@ -135,7 +136,11 @@ FROM (SELECT seq, title, price, CASE seq % 6 WHEN 0 THEN 'Naheed' WHEN 1 THEN 'A
 
 
 def store_pages(spark, folder):
-    """One stored page per catalogue product, in the markup of one of six stores."""
+    """Stored pages in the markup of one of six stores, each with up to three catalogue products.
+
+    The first word of a shown title has an element of its own; the later cards of a page stand inside the
+    first one, which a store does for products that go with another.
+    """
     rows = tables.catalog(spark, folder)
     seq, price = F.col("seq").cast("string"), F.col("price")
     money = F.format_number(price.cast("double"), 2)
@@ -143,13 +148,16 @@ def store_pages(spark, folder):
     image = F.concat(F.lit('<img src="/img/'), seq, F.lit('.jpg" alt="x">'))
     key = (F.col("seq") + 100000).cast("string")
     number = F.col("seq") % 6
+    words = F.split("title", " ", 2)
+    marked = F.concat(F.lit("<b>"), words[0], F.lit("</b>"), F.when(F.size(words) > 1, F.concat(
+        F.lit(" "), words[1])).otherwise(""))
     shapes = {
         0: ("Naheed", ['<li class="item product product-item"><a class="product-item-photo" href="/x/',
                        seq, '">', image, '</a><h2 class="product name product-item-name">'
-                       '<a class="product-item-link" href="/x/', seq, '">  ', "title",
+                       '<a class="product-item-link" href="/x/', seq, '">  ', marked,
                        ' </a></h2><span class="price">Rs. ', money, "</span></li>"]),
         1: ("Alfatah", ['<div class="product-card card-border">', image,
-                        '<a class="product-title-ellipsis" href="/products/p-', key, '">', "title",
+                        '<a class="product-title-ellipsis" href="/products/p-', key, '">', marked,
                         '</a><p class="product-price">Rs.', money, "</p></div>"]),
         2: ("Metro", ['<div class="CategoryGrid_product_nameAndPricing_div__FwOEW">'
                       '<p class="CategoryGrid_product_name__3nYsN" title="', "title",
@@ -159,13 +167,13 @@ def store_pages(spark, folder):
                        '</a><h4 title="', "title", '">..</h4><div class="hazle-product-item_product'
                        '_item_price_label__ET_we"><span>Rs. ', money, "</span></div></div>"]),
         4: ("Rainbow", ['<div id="product-item-', seq, '"><a href="/product/', seq, '">', image,
-                        "</a><h4>", "title", '</h4><div class="hazle-product-item_product_item_'
+                        "</a><h4>", marked, '</h4><div class="hazle-product-item_product_item_'
                         'price_label__ET_we"><span>PKR ', money, '</span></div><p class="hazle-'
                         'product-item_product_item_description__ejRDa" title="', seq,
                         ' g">..</p></div>']),
         5: ("Carrefour", ['<div class="relative w-[134px] max-w-[134px] sm:w-[215px] flex">'
                           '<a href="/mafpak/en/x/p/', seq, '">', image, '</a><div class="text-sm '
-                          'leading-4 font-medium"><span>', "title", '</span></div><div class="text-lg '
+                          'leading-4 font-medium"><span>', marked, '</span></div><div class="text-lg '
                           'leading-5 font-bold">', whole, '</div><div class="text-2xs">.', cents,
                           "</div></div>"]),
     }
@@ -173,14 +181,22 @@ def store_pages(spark, folder):
     def build(parts):
         cells = [p if not isinstance(p, str) else F.col(p) if p == "title" else F.lit(p)
                  for p in parts]
-        return F.concat(F.lit("<html><body><div class='grid'>"), *cells,
-                        F.lit("</div><footer>end</footer></body></html>"))
+        return F.concat(*cells)
 
     site = reduce(lambda c, n: F.when(number == n, shapes[n][0]).otherwise(c), shapes,
                   F.lit(None).cast("string"))
     html = reduce(lambda c, n: F.when(number == n, build(shapes[n][1])).otherwise(c), shapes,
                   F.lit(None).cast("string"))
-    return rows.select(F.col("seq").alias("page_id"), site.alias("site"), html.alias("html"))
+    cards = rows.select((F.col("seq") - F.col("seq") % 18 + number).alias("page_id"), site.alias("site"),
+                        F.struct("seq", html.alias("html")).alias("card"))
+    held = cards.groupBy("page_id", "site").agg(F.array_sort(F.collect_list("card")).alias("c")).select(
+        "page_id", "site", F.col("c.html").alias("c"))
+    closing = F.regexp_extract(F.col("c")[0], r"(</\w+>)$", 1)
+    outer = F.substring(F.col("c")[0], F.lit(1), F.length(F.col("c")[0]) - F.length(closing))
+    return held.select("page_id", "site", F.concat(
+        F.lit("<html><body><div class='grid'>"), outer,
+        F.array_join(F.slice("c", F.lit(2), F.size("c")), ""), closing,
+        F.lit("</div><footer>end</footer></body></html>")).alias("html"))
 
 
 @query("x01_extract_cards", sql(_CARDS, "catalog"))
