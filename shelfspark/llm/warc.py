@@ -191,7 +191,6 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, shard_bytes: i
         .groupBy("page_id", "key", "refers_to", "refers_key", "first").agg(F.count(F.lit(1)).alias("copies"))
         .filter("NOT first OR copies > 1"), "revisits")
     points = split_points(narrow, shard_bytes)
-    # AQE keeps the shard's rows together; every shard is one partition of the exchange
     shard = F.coalesce(F.array_size(F.filter(
         F.lit(points).cast("array<bigint>"), lambda x: x <= F.col("page_id"))), F.lit(0)) \
         if points else F.lit(0)
@@ -202,7 +201,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, shard_bytes: i
         .select("a.page_id", "a.url", "a.key", F.col("html").cast("binary").alias("payload"),
                 "refers_to", "refers_key", F.col("first"), F.coalesce("copies", F.lit(1)).alias("copies")))
     sorted_ = (merged.withColumn("shard", shard.cast("int"))
-               .repartition(len(points) + 1, "shard").sortWithinPartitions("shard", "page_id", "key"))
+               # a range is the partition of its number; by a hash, ranges would meet in one task
+               .repartitionById(len(points) + 1, "shard").sortWithinPartitions("shard", "page_id", "key"))
     files, root = shared_files(folder)
     files.create_dir(f"{root}/_temporary", recursive=True)
     manifest = stage(sorted_.mapInArrow(_number(_write(folder, file_bytes)), MANIFEST), "manifest")
