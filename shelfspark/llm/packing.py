@@ -24,7 +24,8 @@ from shelfspark.llm.common import arrow_texts, documents, id_text, per_worker, q
 
 SIZE = 4096
 END = 2
-CACHE, KEEP = 1 << 19, 48  # entries of each cache of words, and the longest that is kept
+CACHE, KEEP = 1 << 18, 48  # entries of each cache of words, and the longest that is kept
+BUFFER = 1 << 26  # bytes of ids handed on at once, or those of one text
 STEM = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@[-`{-~]*)")
 
 PIECE = ("doc_id long, start long, length long, doc_tokens long, ids binary, "
@@ -91,30 +92,50 @@ def _cut(path: str, size: int, end: int):
         from pyspark import TaskContext
 
         words = per_worker(f"words {path}", lambda: Words(path))
-        task, seen = TaskContext.get().partitionId(), [0] * (size + 1)
+        task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         last = end.to_bytes(4, "little")
         gc.disable()  # nothing here makes cycles, and a collection would walk the caches
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                rows = []
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(),
-                                       words.encode(arrow_texts(batch))):
-                    ids += last
-                    n = len(ids) // 4
-                    for start in range(0, n, size):
-                        length = min(size, n - start)
-                        rows.append((doc_id, start, length, n, ids[4 * start:4 * (start + length)],
-                                     task, seen[length]))
-                        seen[length] += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.binary() if i == 4 else pa.int64())
-                     for i, c in enumerate(zip(*rows))],
-                    names=["doc_id", "start", "length", "doc_tokens", "ids", "task", "rank"])
-        gc.enable()
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 500):
+                    batch = whole.slice(at, 500)
+                    ids, first, held = words.encode(arrow_texts(batch)), 0, 0
+                    for i, x in enumerate(ids):  # a buffer of bounded size
+                        held += len(x)
+                        if held >= BUFFER or i + 1 == len(ids):
+                            yield _pieces(batch.column("doc_id").slice(first, i + 1 - first),
+                                          ids[first:i + 1], last, size, task, seen)
+                            first, held = i + 1, 0
+        finally:
+            gc.enable()
     return run
 
 
+def _pieces(doc_ids: pa.Array, ids: list[bytes], last: bytes, size: int, task: int,
+            seen: np.ndarray) -> pa.RecordBatch:
+    """The pieces of documents, cut in one buffer of all their ids; ``seen`` counts rests by length."""
+    n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4 + 1
+    cuts = -(-n // size)
+    owner = np.repeat(np.arange(len(n)), cuts)
+    start = (np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * size
+    length = np.minimum(size, n[owner] - start)
+    # rank among the pieces of a length, in order of appearance
+    order = np.argsort(length, kind="stable")
+    ordered = length[order]
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
+    counts = np.diff(np.r_[first, len(ordered)])
+    rank = np.empty(len(length), np.int64)
+    rank[order] = np.arange(len(ordered)) - np.repeat(first, counts) + seen[ordered]
+    seen[ordered[first]] += counts
+    offsets = np.concatenate([[0], np.cumsum(length * 4)]).astype(np.int32)
+    data = pa.py_buffer(last.join([*ids, b""]))
+    return pa.RecordBatch.from_arrays(
+        [doc_ids.take(pa.array(owner)), pa.array(start), pa.array(length), pa.array(n[owner]),
+         pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(offsets), data]),
+         pa.array(np.full(len(owner), task, np.int64)), pa.array(rank)],
+        names=["doc_id", "start", "length", "doc_tokens", "ids", "task", "rank"])
+
+
 def patterns(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
     """Places for all rests: (length, first rank, count, first sequence, offset).
 
