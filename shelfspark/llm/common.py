@@ -100,6 +100,15 @@ def per_worker(name: str, make: Callable):
     return getattr(box, name)
 
 
+def free_worker() -> None:
+    """Drop what other operators keep in this worker; for operators that need the room and keep nothing."""
+    import sys
+
+    box = sys.modules.get("_shelfspark_worker")
+    for name in [n for n in vars(box) if not n.startswith("__")] if box else ():
+        delattr(box, name)
+
+
 __all__ = ["BROADCAST_IDS", "ORACLES", "QUERIES", "SPACES", "Scratch", "arrow_texts", "bounded", "documents",
-           "id_text", "labels", "per_worker",
+           "free_worker", "id_text", "labels", "per_worker",
            "query", "shared_files", "stage", "total", "work_path"]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import SPACES, arrow_texts, documents, id_text, labels, query, stage
+from shelfspark.llm.common import SPACES, arrow_texts, documents, free_worker, id_text, labels, query, stage
 
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 600, 1800, 8_000
 LONG_CHARS = 2_400_000
@@ -297,6 +297,7 @@ def span_list(text: bytes, hits: list[tuple[int, float]]) -> list[dict]:
 
 def _score_rows(field: Field):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         scorer = Scorer(field)
         item = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])
         for whole in batches:
@@ -317,6 +318,7 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
 def _clean_rows(field: Field, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         scorer = Scorer(field)
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
