@@ -10,23 +10,22 @@ that length. Ranks come from counts by (task, length), so no length is gathered
 
 from __future__ import annotations
 
-import gc
-import re
-import struct
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import arrow_texts, documents, id_text, per_worker, query, stage
+from shelfspark.llm.common import documents, id_text, per_worker, query, stage
 
 SIZE = 4096
 END = 2
-CACHE, KEEP = 1 << 19, 48  # entries of each cache of words, and the longest that is kept
-BUFFER = 1 << 26  # bytes of ids handed on at once, or those of one text
-STEM = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@[-`{-~]*)")
+CACHE, KEEP = 1 << 19, 48  # parts of words whose ids are kept, and the longest that is kept
+SLICE = 1 << 23  # bytes of text encoded at once, or those of one text
+STEM = "^(?P<stem>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)(?P<tail>[!-&(-/:-@[-`{-~]*)$"
 
 PIECE = ("doc_id long, start long, length long, doc_tokens long, ids binary, "
          "task long, rank long")
@@ -46,41 +45,71 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Ids of words not met before."""
-        texts = [word.decode() for word in words]
-        found = [STEM.fullmatch(text) for text in texts]
-        heads = [m[1].lower() if m else text for m, text in zip(found, texts)]
-        tails = [m[2] if m else "" for m in found]
-        parts = self.parts
-        if len(parts) > CACHE:
-            parts.clear()
-        fresh = list({*heads, *tails}.difference(parts))
-        for start in range(0, len(fresh), 4096):
-            some = fresh[start:start + 4096]
-            codes = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            parts.update(zip(some, [struct.pack(f"<{len(c)}I", *c.ids) for c in codes]))
-        self.known.update(zip(words, [parts[a] + parts[b] for a, b in zip(heads, tails)]))
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a stem or a tail
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        codes = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(c.ids, "<u4").tobytes() for c in codes]
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Ids of stems and tails not met before: many in one text, parted where an id ends a word."""
+        for at in range(0, len(fresh), 4096):
+            some = fresh[at:at + 4096]
+            whole = self._encode([" ".join(some)])[0]
+            stops = (np.flatnonzero(self.ends[np.frombuffer(whole, "<u4")]) + 1) * 4
+            if len(stops) == len(some):
+                cuts = [0, *stops.tolist()]
+                self.parts.update(zip(some, [whole[a:b] for a, b in zip(cuts, cuts[1:])]))
+            else:
+                self.parts.update(zip(some, self._encode(some)))
+
+    def _ids(self, texts: pa.Array) -> pa.Array:
+        """Ids of each of the stems, tails or odd words, all of them looked up once."""
+        coded = texts.dictionary_encode()
+        distinct, parts = coded.dictionary.to_pylist(), self.parts
+        fresh = [x for x in distinct if x not in parts]
+        self._learn(fresh)
+        found = pa.array([parts[x] for x in distinct], pa.large_binary())
         for text in fresh:
             if len(text) > KEEP:
                 del parts[text]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        known, out = self.known, []
-        if len(known) > CACHE:
-            known.clear()
-        split = [text.split() for text in texts]
-        missing = list(set().union(*split).difference(known))
-        self._learn(missing)
-        for words in split:
-            out.append(b"".join([known[w] for w in words]))
-        for word in missing:
-            if len(word) > KEEP:
-                del known[word]
-        return out
+        return found.take(coded.indices)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each text has."""
+        if len(self.parts) > CACHE:
+            self.parts = {"": b""}
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        found = pc.extract_regex(words.dictionary, STEM)
+        stem, tail = found.flatten()
+        stem, odd = pc.utf8_lower(stem), found.is_null()
+        heads = self._ids(pc.if_else(odd, "", stem))
+        tails = self._ids(pc.if_else(odd, "", tail))
+        ids = pc.binary_join_element_wise(heads, tails, pa.scalar(b"", pa.large_binary()))
+        if found.null_count:
+            ids = pc.replace_with_mask(ids, odd, pa.array(
+                self._encode(words.dictionary.filter(odd).to_pylist()), pa.large_binary()))
+        ids = ids.take(words.indices)
+        bounds = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)
+        count = np.diff(bounds[np.asarray(split.offsets)]) // 4
+        total = int(count.sum())
+        return (np.frombuffer(ids.buffers()[2], "<u4", total) if total else np.empty(0, "<u4")), count
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, rows) of runs of texts of at most SLICE bytes, or of one longer text."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        before = upto[first - 1] if first else 0
+        after = max(first + 1, int(np.searchsorted(upto, before + SLICE, "right")))
+        yield first, after - first
+        first = after
 
 
 def _cut(path: str, size: int, end: int):
@@ -93,28 +122,23 @@ def _cut(path: str, size: int, end: int):
 
         words = per_worker(f"words {path}", lambda: Words(path))
         task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        last = end.to_bytes(4, "little")
-        gc.disable()  # nothing here makes cycles, and a collection would walk the caches
-        try:
-            for whole in batches:
-                for at in range(0, whole.num_rows, 500):
-                    batch = whole.slice(at, 500)
-                    ids, first, held = words.encode(arrow_texts(batch)), 0, 0
-                    for i, x in enumerate(ids):  # a buffer of bounded size
-                        held += len(x)
-                        if held >= BUFFER or i + 1 == len(ids):
-                            yield _pieces(batch.column("doc_id").slice(first, i + 1 - first),
-                                          ids[first:i + 1], last, size, task, seen)
-                            first, held = i + 1, 0
-        finally:
-            gc.enable()
+        for batch in batches:
+            texts = batch.column("text").cast(pa.string())
+            for first, rows in _slices(texts):
+                ids, count = words.encode(texts.slice(first, rows))
+                yield _pieces(batch.column("doc_id").slice(first, rows), ids, count, end, size, task, seen)
     return run
 
 
-def _pieces(doc_ids: pa.Array, ids: list[bytes], last: bytes, size: int, task: int,
+def _pieces(doc_ids: pa.Array, ids: np.ndarray, count: np.ndarray, end: int, size: int, task: int,
             seen: np.ndarray) -> pa.RecordBatch:
     """The pieces of documents, cut in one buffer of all their ids; ``seen`` counts rests by length."""
-    n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4 + 1
+    n = count + 1
+    closing = np.cumsum(n) - 1
+    inside = np.ones(int(n.sum()), bool)
+    inside[closing] = False
+    whole = np.empty(len(inside), "<u4")
+    whole[inside], whole[closing] = ids, end
     cuts = -(-n // size)
     owner = np.repeat(np.arange(len(n)), cuts)
     start = (np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * size
@@ -122,16 +146,15 @@ def _pieces(doc_ids: pa.Array, ids: list[bytes], last: bytes, size: int, task: i
     # rank among the pieces of a length, in order of appearance
     order = np.argsort(length, kind="stable")
     ordered = length[order]
-    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     counts = np.diff(np.r_[first, len(ordered)])
     rank = np.empty(len(length), np.int64)
     rank[order] = np.arange(len(ordered)) - np.repeat(first, counts) + seen[ordered]
     seen[ordered[first]] += counts
     offsets = np.concatenate([[0], np.cumsum(length * 4)]).astype(np.int32)
-    data = pa.py_buffer(last.join([*ids, b""]))
     return pa.RecordBatch.from_arrays(
         [doc_ids.take(pa.array(owner)), pa.array(start), pa.array(length), pa.array(n[owner]),
-         pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(offsets), data]),
+         pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(offsets), pa.py_buffer(whole)]),
          pa.array(np.full(len(owner), task, np.int64)), pa.array(rank)],
         names=["doc_id", "start", "length", "doc_tokens", "ids", "task", "rank"])
 
