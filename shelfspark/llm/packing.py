@@ -23,8 +23,8 @@ from shelfspark.llm.common import documents, id_text, per_worker, query, stage
 
 SIZE = 4096
 END = 2
-CACHE, KEEP = 1 << 19, 48  # parts of words whose ids are kept, and the longest that is kept
-SLICE = 1 << 23  # bytes of text encoded at once, or those of one text
+CACHE, KEEP = 1 << 18, 48  # parts of words whose ids are kept, and the longest that is kept
+SLICE = 1 << 22  # bytes of text encoded at once, or those of one text
 STEM = "^(?P<stem>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)(?P<tail>[!-&(-/:-@[-`{-~]*)$"
 
 PIECE = ("doc_id long, start long, length long, doc_tokens long, ids binary, "
@@ -127,6 +127,7 @@ def _cut(path: str, size: int, end: int):
             for first, rows in _slices(texts):
                 ids, count = words.encode(texts.slice(first, rows))
                 yield _pieces(batch.column("doc_id").slice(first, rows), ids, count, end, size, task, seen)
+        pa.default_memory_pool().release_unused()  # the worker may wait long for its next task
     return run
 
 
