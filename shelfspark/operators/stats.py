@@ -4,7 +4,8 @@ Rows are first counted per distinct value, which also collapses hot values.
 The distinct values are then cut into ranges of about ``range_rows`` rows and
 running counts are summed range by range, so no task sorts more than one range
 of one key, however many rows a key has. Small inputs need a single range and
-use the plain window.
+use the plain window; more ranges than the sample has values are cut by Spark's
+range partitioning and written once.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from shelfspark.session import stage
+
 RANGE_ROWS = 1_000_000
 SAMPLE_ROWS = 1_024
 HASH_SPAN = float(2 ** 64)
@@ -30,8 +33,8 @@ def _literal(value) -> Column:
     return F.lit(value)
 
 
-def _split_points(values: DataFrame, value: str, key: Sequence[str], range_rows: int) -> list:
-    """Sorted split points from the rows with the smallest hashes.
+def _sample(values: DataFrame, value: str, key: Sequence[str], range_rows: int) -> tuple[int, list]:
+    """How many ranges are needed, and the sorted values of the rows with the smallest hashes.
 
     The sample has a fixed size, does not depend on partitioning, and its
     largest hash tells how many rows there are.
@@ -45,12 +48,17 @@ def _split_points(values: DataFrame, value: str, key: Sequence[str], range_rows:
         rows = len(sample)
     else:
         rows = (SAMPLE_ROWS - 1) / ((sample[-1]["h"] + HASH_SPAN / 2) / HASH_SPAN)
-    ranges = min(int(-(-rows // range_rows)), len(sample))
-    if ranges <= 1:
-        return []
-    ordered = sorted(r["v"] for r in sample)
-    picks = [ordered[len(ordered) * i // ranges] for i in range(1, ranges)]
-    return sorted(set(picks))
+    return int(-(-rows // range_rows)), sorted(r["v"] for r in sample)
+
+
+def _with_range(counts: DataFrame, value: str, ranges: int, sample: list) -> DataFrame:
+    """Add ``_range``, which never falls as the value grows."""
+    if ranges <= len(sample):
+        points = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)})
+        return counts.withColumn("_range", _range_of(F.col(value), points))
+    # written once, as a partition's number holds for one run of the partitioning only
+    return stage(counts.repartitionByRange(ranges, value).withColumn("_range", F.spark_partition_id()),
+                 "ranges")
 
 
 def _range_of(value: Column, points: list, low: int = 0) -> Column:
@@ -71,15 +79,15 @@ def value_counts(df: DataFrame, value: str, keys: Sequence[str] = (),
     keys = list(keys)
     present = df.dropna(subset=[*keys, value]) if keys else df.where(F.col(value).isNotNull())
     counts = present.groupBy(*keys, value).agg(F.count("*").alias("n_equal"))
-    points = _split_points(counts, value, keys, range_rows)
+    ranges, sample = _sample(counts, value, keys, range_rows)
     before = (Window.unboundedPreceding, -1)
-    if not points:
+    if ranges <= 1:
         inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(*before)
         return counts.withColumns({
             "n_below": F.coalesce(F.sum("n_equal").over(inside), F.lit(0)),
             "n_total": F.sum("n_equal").over(Window.partitionBy(*keys)),
         })
-    ranged = counts.withColumn("_range", _range_of(F.col(value), points))
+    ranged = _with_range(counts, value, ranges, sample)
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(*before)
     across = Window.partitionBy(*keys).orderBy("_range").rowsBetween(*before)
     starts = (

@@ -54,6 +54,20 @@ def test_partitioning_does_not_matter(skewed):
     assert a.exceptAll(b.select(*a.columns)).isEmpty()
 
 
+def test_more_ranges_than_sampled_values(spark):
+    wide = spark.range(12_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise("k").alias("k"),
+        (F.pmod(F.xxhash64("id"), F.lit(10_000)) / 7).alias("v"))
+    distinct = wide.select("k", "v").distinct().count()
+    got = stats.value_counts(wide, "v", ["k"], 4)
+    assert got.inputFiles()  # ranges were written
+    want = stats.value_counts(wide, "v", ["k"])
+    assert got.count() == distinct
+    assert got.select(*want.columns).exceptAll(want).isEmpty()
+    ranges, sample = stats._sample(wide.select("v").distinct(), "v", [], 1)
+    assert ranges > 5_000 and len(sample) == stats.SAMPLE_ROWS
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "v double")
     assert stats.value_counts(empty, "v").count() == 0
