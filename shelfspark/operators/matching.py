@@ -178,7 +178,8 @@ def similar_pairs(names: DataFrame, threshold: float = THRESHOLD,
         overlap = overlap + F.bit_count(F.col(f"bag{w}_a").bitwiseAND(F.col(f"bag{w}_b")))
     once = (F.col("short") < F.col("long")) | (F.col("a") < F.col("b"))
     enough = overlap * 200 >= (F.col("short") + F.col("long")) * threshold
-    pairs = shorter.join(longer, on).where(once & enough).select("a", "b").distinct()
+    # Estimates do not count what explode multiplies, so a broadcast of either side could be of any size.
+    pairs = shorter.hint("merge").join(longer.hint("merge"), on).where(once & enough).select("a", "b").distinct()
     texts = rows.select("ord", "text")
     candidates = pairs.join(
         texts.select(F.col("ord").alias("a"), F.col("text").alias("text_a")), "a").join(

@@ -96,6 +96,12 @@ def test_similar_pairs_lose_nothing(spark, threshold, hot):
     assert got == pytest.approx(brute_force(names, threshold))
 
 
+def test_exploded_names_are_not_broadcast(spark):
+    df = spark.createDataFrame(list(enumerate(random_names(30, 1))), "ord long, normalized_name string")
+    plan = matching.similar_pairs(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [key#" not in plan and "SortMergeJoin [key#" in plan
+
+
 def test_best_k_with_ties(spark):
     names = random_names(120, 3)
     df = spark.createDataFrame(list(enumerate(names)), "ord long, normalized_name string")
