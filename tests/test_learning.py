@@ -81,6 +81,14 @@ def test_cosine_pairs_equal_brute_force(docs, level, chunk, monkeypatch):
     assert got == want
 
 
+def test_found_pairs_are_not_shuffled(docs):
+    pairs = recommend.cosine_pairs(recommend.tfidf(recommend.distinct_texts(docs)), 0.0)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("FlatMapCoGroupsInPandas")[0]
+    rows = pairs.select("a", "b").collect()
+    assert len(rows) == len(set(rows)) > 0
+
+
 def test_locate_by_prefix(spark):
     catalog = spark.createDataFrame([(3, "Big Pepsi Cola Bottle 500ml"), (1, "pepsi cola bottle 1L"),
                                      (2, "tea (green)")], "seq long, title string")
