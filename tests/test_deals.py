@@ -1,4 +1,7 @@
+import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from shelfspark.operators import deal_model, deals, listings, views
@@ -57,6 +60,35 @@ def test_learners(spark):
     assert deals.cluster_listings(search(spark, 6)).columns == search(spark).columns
 
 
+def test_deal_scores_are_learned_from_cells_of_equal_bins(spark, monkeypatch):
+    """More rows than Spark draws to place bins: its own learner on all rows predicts the same."""
+    rows = spark.range(24_000).select(
+        F.col("id").alias("seq"), F.concat(F.lit("S"), F.col("id") % 7).alias("site"),
+        (100 + F.col("id") * 7919 % 10_007 / 10).alias("price"),
+        (F.col("id") % 3 * 250.0).alias("normalized_quantity"), (F.col("id") % 4).alias("pack_count"),
+    ).withColumn("unit_price", F.col("price") / (F.col("pack_count") + 1)).withColumn(
+        "deal_score", F.sqrt("unit_price") * (F.col("pack_count") + 1) + F.col("price") / 40)
+    sizes, fit = [], GBTRegressor.fit
+
+    def counted(self, df, *more):
+        sizes.append(df.count())
+        return fit(self, df, *more)
+    monkeypatch.setattr(GBTRegressor, "fit", counted)
+    got, _ = deals.predict_deal_score(rows, trees=6)
+    assert len(sizes) == 1 and sizes[0] < 12_000
+    plain = deals.with_model_features(rows)
+    learner = GBTRegressor(labelCol="deal_score", predictionCol="want", maxIter=6, maxDepth=4, seed=42)
+    want = Pipeline(stages=[*deals._scaled(), learner]).fit(plain).transform(plain).select("seq", "want")
+    gap = got.join(want, "seq").agg(F.count("*"), F.max(F.abs(F.col("ml_predicted_score") - F.col("want")))).first()
+    assert gap[0] == 24_000 and gap[1] < 1e-9
+
+
+def test_bins_of_equal_and_of_few_values():
+    assert list(deals.bin_edges(np.full(5, 2.0), 5)) == []
+    assert list(deals.bin_edges(np.array([1.0, 3.0, 3.0, 0.0]), 4)) == [0.5, 2.0]
+    assert len(deals.bin_edges(np.arange(1, 1001) / 7, 1000)) == deals.BINS - 1
+
+
 def training(spark):
     return spark.createDataFrame(
         [("t1", "X", "c", "A", 10.0, 1.0, 1), ("t2", "X", "c", "A", 20.0, 2.0, 0),
