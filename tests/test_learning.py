@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
@@ -174,6 +175,43 @@ def test_network_does_not_depend_on_partitioning(spark, monkeypatch):
         assert abs(a - b).max() < 1e-6
 
 
+def plain_epoch(state, steps, x, y, rate, penalty, batch, seed):
+    """One pass of Adam, array by array."""
+    k = len(state) // 3
+    weights, first, second = ([w.copy() for w in state[i * k:(i + 1) * k]] for i in range(3))
+    order = np.random.default_rng(seed).permutation(len(y))
+    for step, at in enumerate(range(0, len(y), batch), start=steps + 1):
+        rows = order[at:at + batch]
+        layers = pricing._forward(weights, x[rows])
+        delta = (layers[-1] - y[rows][:, None]) / len(rows)
+        grads = [None] * k
+        for i in range(k - 2, -1, -2):
+            grads[i] = layers[i // 2].T @ delta + penalty * weights[i] / len(rows)
+            grads[i + 1] = delta.sum(axis=0)
+            delta = (delta @ weights[i].T) * (layers[i // 2] > 0)
+        for i, g in enumerate(grads):
+            first[i] = 0.9 * first[i] + 0.1 * g
+            second[i] = 0.999 * second[i] + 0.001 * g * g
+            hat = first[i] / (1 - 0.9 ** step)
+            weights[i] -= rate * hat / (np.sqrt(second[i] / (1 - 0.999 ** step)) + 1e-8)
+    return [*weights, *first, *second]
+
+
+def test_a_pass_of_adam_updates_whole_vectors(monkeypatch):
+    rng, sizes = np.random.default_rng(5), [6, 16, 8, 1]
+    weights = []
+    for a, b in zip(sizes, sizes[1:]):
+        weights += [rng.normal(size=(a, b)), rng.normal(size=b)]
+    state = weights + [np.zeros_like(w) for w in weights] * 2
+    x, y, roots, plain = rng.normal(size=(103, 6)), rng.normal(size=103), [], np.sqrt
+    want = plain_epoch(plain_epoch(state, 0, x, y, 0.01, 0.1, 16, 1), 7, x, y, 0.01, 0.1, 16, 2)
+    monkeypatch.setattr(np, "sqrt", lambda *args, **more: roots.append(1) or plain(*args, **more))
+    got = pricing._local_epoch(pricing._local_epoch(state, 0, x, y, 0.01, 0.1, 16, 1), 7, x, y, 0.01, 0.1, 16, 2)
+    assert len(roots) == 14  # one a step; array by array it is one a step and array
+    for a, b in zip(got, want):
+        assert a.shape == b.shape and np.allclose(a, b, rtol=1e-12, atol=1e-14)
+
+
 def test_scaling_is_by_the_population_deviation(spark):
     rows = spark.createDataFrame([(1.0,), (3.0,), (8.0,)], "x double")
     model = Pipeline(stages=pricing.standardised(rows, ["x"])).fit(rows)
