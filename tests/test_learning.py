@@ -218,3 +218,21 @@ def test_scaling_is_by_the_population_deviation(spark):
     got = sorted(r["features"][0] for r in model.transform(rows).collect())
     spread = (26 / 3) ** 0.5
     assert got == pytest.approx([(v - 4) / spread for v in (1, 3, 8)])
+
+
+def test_large_forests_lay_rows_out_by_leaves(spark, monkeypatch):
+    rows = table(spark, 2_000).withColumn("g", F.ascii("g").cast("double"))
+    fits = []
+    monkeypatch.setattr(pricing, "CLUSTER_SAMPLE", 500)
+    monkeypatch.setattr(pricing.RandomForestRegressor, "_fit", lambda self, df, fit=pricing.RandomForestRegressor._fit:
+                        fits.append(df.select(rows.columns)) or fit(self, df))
+    for bound in (2_000, 1_999):
+        monkeypatch.setattr(pricing, "CLUSTER_ROWS", bound)
+        model = pricing.random_forest(rows, ["x", "g"], trees=5, depth=6)
+        assert pricing.regression_metrics(model.transform(rows)).first()["r2"] > 0.98
+    plain, laid = [df.collect() for df in fits]
+    assert [r["seq"] for r in plain] == list(range(2_000)) and sorted(laid) == plain
+
+    def jumps(part):
+        return sum(abs(a["price_numeric"] - b["price_numeric"]) for a, b in zip(part, part[1:]))
+    assert jumps(laid) < jumps(plain) / 3
