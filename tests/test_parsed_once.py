@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.functions import quantity as q
-from shelfspark.operators import cross_store, deals, features
+from shelfspark.operators import cross_store, deals, features, pricing
 from shelfspark.session import stage
+from shelfspark.suite import learning_q
 
 PATTERN = "milli?lit"
 
@@ -79,3 +80,28 @@ def test_first_word_and_hard_spaces(cell):
         assert cell(q.brand("x"), x=title) == brand
     got = cell(q.size("x"), x="Tea\u00a05\u00a0ml")
     assert (got["size_value"], got["size_unit"]) == (5.0, "ml")
+
+
+def test_model_table_joins_once_and_writes_what_the_learners_read(spark, monkeypatch):
+    r = random.Random(6)
+    rows = spark.createDataFrame(
+        [(i, r.choice("abc"), f"tea {i}", r.choice([1.5, 2.0, 4.25]), i % 9, 1.0, 2.0, i % 3, 3.0, r.choice(["x", None]), "ml", "b", "b_x")
+         for i in range(200)],
+        "seq long, site string, title string, price_numeric double, product_group_id long, size_value double, "
+        "normalized_quantity double, pack_count int, total_volume double, category string, size_unit string, "
+        "brand string, brand_category string")
+    whole = pricing.prepare(cross_store.with_store_competitiveness(cross_store.with_group_features(rows)))
+    inputs = pricing.feature_columns(whole)
+    want = [{tuple(round(float(x), 6) for x in row) for row in part.select("seq", "price_numeric", *inputs).collect()}
+            for part in pricing.split(whole)]
+    names = {}
+    for module in (cross_store, pricing, learning_q):
+        monkeypatch.setattr(module, "stage", lambda df, name="stage": names.setdefault(name, df) is None or stage(df, name))
+    monkeypatch.setattr(learning_q, "grouped_rows", lambda spark, folder, columns: rows)
+    train, test, read = learning_q.model_table(spark, "")
+    assert read == inputs and train.columns == test.columns == ["seq", "price_numeric", *inputs]
+    assert [{tuple(round(float(x), 6) for x in row) for row in part.collect()} for part in (train, test)] == want
+    assert "title" not in names["grouped"].columns and "model-table" not in names
+    assert not {"std_price", "distinct_sites"} & set(names["group-facts"].columns)
+    assert "distinct" not in plan(names["group-facts"]).lower() and "Expand" not in plan(names["group-facts"])
+    assert plan(names["compared"]).count("Join") == 1 and "Join" not in plan(names["stores"])
