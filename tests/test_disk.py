@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from shelfspark import session
-from shelfspark.operators import cross_store
+from shelfspark.operators import cross_store, recommend
 from shelfspark.suite import learning_q
 
 
@@ -66,3 +66,29 @@ def test_the_model_table_leaves_itself_only(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(cross_store, "stage", lambda df, name="stage": names.append(name) or session.stage(df, name))
     assert cells() == whole and names.count("compared") > 1
     assert {p.name.partition("-")[0] for p in tmp_path.iterdir()} == {"prepared"}
+
+
+def test_texts_are_multiplied_without_a_shuffle(spark, monkeypatch):
+    for name, value in {"CHUNK": 5, "FEW": 2, "TERMS": 3}.items():
+        monkeypatch.setattr(recommend, name, value, raising=False)
+    r, texts = random.Random(4), set()
+    while len(texts) < 40:
+        texts.add(" ".join(r.choices([f"w{i}" for i in range(14)], k=4)))
+    docs = spark.createDataFrame([*enumerate(sorted(texts)), (None, "w1 w2")], "seq long, text string")
+    weights = recommend.tfidf(recommend.distinct_texts(docs), None)
+    vectors = {}
+    for row in weights.where("tid IS NOT NULL").collect():
+        vectors.setdefault(row["tid"], {})[row["term"]] = row["weight"]
+    for level in (0.0, 0.3):
+        want = {}
+        for a, v in vectors.items():
+            for b, u in vectors.items():
+                score = sum(w * u.get(t, 0.0) for t, w in v.items())
+                if a < b and score >= max(level, 1e-9):
+                    want[a, b] = score
+        pairs = recommend.cosine_pairs(weights, level)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "CartesianProduct" in plan
+        got = {(row["a"], row["b"]): row["similarity"] for row in pairs.collect()}
+        assert len(want) > 20 and got.keys() == want.keys()
+        assert all(abs(got[k] - want[k]) < 1e-8 for k in want)
