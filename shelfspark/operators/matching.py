@@ -148,7 +148,11 @@ def _split_hot(left: DataFrame, right: DataFrame, hot: int) -> tuple[DataFrame,
 
 def similar_pairs(names: DataFrame, threshold: float = THRESHOLD,
                   hot: int = HOT_KEY) -> DataFrame:
-    """All pairs (a, b, score) of names(ord, normalized_name) at or above the threshold."""
+    """All pairs (a, b, score) of names(ord, normalized_name) at or above the threshold.
+
+    Two names are compared at the rarest character that both have in their prefix and nowhere else, where both
+    texts are at hand, so candidates are not shuffled.
+    """
     if not 0 < threshold <= 100:
         raise ValueError("threshold must lie in (0, 100]")
     eps = 1e-9
@@ -164,10 +168,12 @@ def similar_pairs(names: DataFrame, threshold: float = THRESHOLD,
         prefix = F.slice("tokens", 1, (F.col("len") - shared + 1).cast("int"))
         short, long = ("len", "other") if side == "a" else ("other", "len")
         return lengths.select(
-            F.explode(prefix).alias("t"), F.col(short).alias("short"), F.col(long).alias("long"),
-            F.col("ord").alias(number), *[F.col(b).alias(f"{b}_{side}") for b in bags]
-        ).withColumn("key", F.xxhash64("short", "long", "t")).drop(
-            "t", *(["short", "long"] if side == "b" else []))
+            F.posexplode(prefix).alias("n", "t"), F.col(short).alias("short"), F.col(long).alias("long"),
+            F.col("ord").alias(number), F.col("text").alias(f"text_{side}"), "tokens",
+            *[F.col(b).alias(f"{b}_{side}") for b in bags]
+        ).withColumn("key", F.xxhash64("short", "long", "t")).withColumn(
+            f"rarer_{side}", F.slice("tokens", F.lit(1), F.col("n"))).drop(
+            "n", "t", "tokens", *(["short", "long"] if side == "b" else []))
 
     n = F.col("len")
     shorter = keyed("a", "a", n, F.floor(n * reach + eps))
@@ -178,14 +184,12 @@ def similar_pairs(names: DataFrame, threshold: float = THRESHOLD,
         overlap = overlap + F.bit_count(F.col(f"bag{w}_a").bitwiseAND(F.col(f"bag{w}_b")))
     once = (F.col("short") < F.col("long")) | (F.col("a") < F.col("b"))
     enough = overlap * 200 >= (F.col("short") + F.col("long")) * threshold
+    first = ~F.arrays_overlap("rarer_a", "rarer_b")
     # Estimates do not count what explode multiplies, so a broadcast of either side could be of any size.
-    pairs = shorter.hint("merge").join(longer.hint("merge"), on).where(once & enough).select("a", "b").distinct()
-    texts = rows.select("ord", "text")
-    candidates = pairs.join(
-        texts.select(F.col("ord").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("ord").alias("b"), F.col("text").alias("text_b")), "b")
+    candidates = shorter.hint("merge").join(longer.hint("merge"), on).where(once & enough & first)
     return (
-        candidates.withColumn("common", lcs("text_a", "text_b"))
+        candidates.select("a", "b", "text_a", "text_b")
+        .withColumn("common", lcs("text_a", "text_b"))
         .withColumn("both", F.length("text_a") + F.length("text_b"))
         .where(F.col("common") * 200 >= F.col("both") * threshold - eps)
         .select("a", "b", (F.col("common") * F.lit(200.0) / F.col("both")).alias("score"))
